@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import bpe, decontam, neardup, quality, sharding
+from mdlake.llm import bpe, decontam, neardup, quality, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that ``op7_url_filter`` judges by.
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list has the URLs of the pages whose ``page_id`` is divisible by 50."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.col("page_id") % 50 == 0).select("url")
+    rules = urlfilter.parse_rules(URL_RULES)
+    return urlfilter.judge(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Da
 QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_url_filter": op7_url_filter,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
@@ -89,6 +102,23 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+""",
+    "op7_url_filter": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1) AS query FROM pages),
+c AS (SELECT *, array_to_string(list_filter(string_split(query, '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[^=]*|ref|fbclid|gclid)=')), '&') AS params FROM p),
+k AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^(?:www|m)\.', ''), ':(?:80|443)$', '')
+    || regexp_replace(path, '/$|\.html$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END END AS canon FROM c),
+rules(verdict, h, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (SELECT page_id, h || pre AS rule, rules.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || pre) DESC, length(h) DESC) AS n
+    FROM k JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)),
+listed AS (SELECT DISTINCT canon FROM k WHERE page_id % 50 = 0 AND canon <> '')
+SELECT k.page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN listed.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN fit ON fit.page_id = k.page_id AND n = 1 LEFT JOIN listed ON listed.canon = k.canon
 """,
     "op8_near_duplicates": r"""
 WITH RECURSIVE d AS (SELECT doc_id,
