@@ -7,13 +7,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import bpe, decontam, neardup, quality, sharding, urlfilter
+from mdlake.llm import bpe, decontam, neardup, quality, sharding, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no times: a page is captured ``page_id`` seconds after a fixed moment."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
+    out = warc.archive_and_index(pages, captured)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_order")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_rows(docs, shards).select(
@@ -72,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Da
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
@@ -81,6 +90,22 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc_index": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, sha1(coalesce(html, '')) AS hex, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+    substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', hex[i]) - 1) + 1, 4)), '') AS bits FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, 5 * i + j, 1)::INT * (1 << (5 - j))))::INT, 1)), '') AS payload_digest FROM b),
+k AS (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([/?]?[^#]*)', 1) AS rest,
+    strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM d),
+u AS (SELECT *, CASE WHEN contains(url, '://') AND NOT ends_with(url, '://')
+    THEN array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || lower(rest) ELSE '' END AS url_key,
+    min(page_id) OVER (PARTITION BY hex) AS first FROM k)
+SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, url_key, captured,
+  row_number() OVER (ORDER BY url_key COLLATE "binary", captured, page_id::VARCHAR) - 1 AS capture_order
+FROM u
+""",
     "op6_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
