@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import bpe, decontam, neardup, quality, sharding, urlfilter, warc
+from mdlake.llm import bpe, decontam, neardup, pieces, quality, sharding, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_order")
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", F.xxhash64("piece_ids").alias("ids_hash"), "round_trip")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_rows(docs, shards).select(
@@ -81,6 +87,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Da
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op4_pieces": op4_pieces,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
