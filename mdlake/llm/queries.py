@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import bpe, decontam, neardup, pieces, quality, sharding, urlfilter, warc
+from mdlake.llm import bpe, decontam, langid, neardup, pieces, quality, sharding, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_order")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text model is fitted on labelled documents, the evidence is of pages."""
+    model = langid.train(_table(spark, sf_dir, "documents").select("text", "lang"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return langid.identify_pages(pages, model).withColumn("confidence", F.round("confidence", 6))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -87,6 +94,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Da
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op3_language_id": op3_language_id,
     "op4_pieces": op4_pieces,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
