@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import bpe, decontam, langid, neardup, pieces, quality, sharding, urlfilter, warc
+from mdlake.llm import bpe, chat, decontam, langid, neardup, pieces, quality, sharding, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,22 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_order")
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected of a pair."""
+    turns = chat.turns(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    pairs = chat.pair_up(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
+    trained = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    return chat.preference_rows(pairs).select(
+        "pair_id",
+        "n_prompt_turns",
+        F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha256"),
+        F.sha2(F.col("chosen_text").cast("binary"), 256).alias("chosen_sha256"),
+        F.sha2(F.col("rejected_text").cast("binary"), 256).alias("rejected_sha256"),
+        trained("chosen_spans").alias("chosen_trained"),
+        trained("rejected_spans").alias("rejected_trained"),
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text model is fitted on labelled documents, the evidence is of pages."""
     model = langid.train(_table(spark, sf_dir, "documents").select("text", "lang"))
@@ -94,6 +110,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Da
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op2_preferences": op2_preferences,
     "op3_language_id": op3_language_id,
     "op4_pieces": op4_pieces,
     "op5_sharding": op5_sharding,
@@ -120,6 +137,26 @@ SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = first TH
   CASE WHEN page_id <> first THEN first END AS refers_to, url_key, captured,
   row_number() OVER (ORDER BY url_key COLLATE "binary", captured, page_id::VARCHAR) - 1 AS capture_order
 FROM u
+""",
+    "op2_preferences": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS size FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT conv_id // 2 AS pair_id FROM c),
+d AS (SELECT a.conv_id // 2 AS pair_id, min(a.n) AS n FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id + 1 AND b.n = a.n
+    AND b.role = a.role AND b.text = a.text WHERE a.conv_id % 2 = 0 AND b.n IS NULL GROUP BY 1),
+l AS (SELECT p.pair_id, a.conv_id AS a, b.conv_id AS b, CASE WHEN a.conv_id IS NULL OR b.conv_id IS NULL THEN 0
+    ELSE least(coalesce(d.n - 1, a.size), b.size) END::INT AS k
+    FROM p LEFT JOIN c a ON a.conv_id = 2 * p.pair_id LEFT JOIN c b ON b.conv_id = 2 * p.pair_id + 1 LEFT JOIN d ON d.pair_id = p.pair_id),
+r AS (SELECT *, '<|turn:' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS s,
+    CASE WHEN role = 'assistant' THEN length(replace(text, '<|', '< |')) + 8 ELSE 0 END AS m FROM t),
+o AS (SELECT l.pair_id, r.conv_id, coalesce(string_agg(s, '' ORDER BY n) FILTER (n <= k), '') AS head,
+    coalesce(string_agg(s, '' ORDER BY n) FILTER (n > k), '') AS tail, coalesce(sum(m) FILTER (n > k), 0)::BIGINT AS trained
+    FROM l JOIN r ON r.conv_id = l.a OR r.conv_id = l.b GROUP BY ALL)
+SELECT l.pair_id, l.k AS n_prompt_turns, sha256(coalesce(x.head, y.head)) AS prompt_sha256, sha256(x.tail) AS chosen_sha256,
+  sha256(y.tail) AS rejected_sha256, x.trained AS chosen_trained, y.trained AS rejected_trained
+FROM l LEFT JOIN o x ON x.conv_id = l.a LEFT JOIN o y ON y.conv_id = l.b
 """,
     "op6_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r,

@@ -34,9 +34,10 @@ def page(language, text, declared=True):
 
 def test_evidence(spark, model):
     rows = [(i, "https://www.seite.example.com/x", page("de", t, False)) for i, t in enumerate(corpus("de", 30))]
+    rows += [(200 + i, f"https://h{i % 7}.test.net/", page(g, t, False)) for i, (g, t) in enumerate((g, t) for g in SAMPLES for t in corpus(g, 30))]
     rows += [
         (100, "https://www.seite.example.com/y", page("", "12", False)),  # no text: the host decides
-        (101, "http://other.example.com/", page("fr", "12")),  # the declaration decides
+        (101, "http://other.test.net/", page("fr", "12")),  # the declaration decides
         (102, "http://ein.beispiel.de/", "<p>12</p>"),  # the suffix decides
         (103, None, page("fr", corpus("en", 1)[0])),  # the text outweighs a wrong declaration
         (104, None, None),
