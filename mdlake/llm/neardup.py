@@ -12,9 +12,10 @@ Sets are first grouped by a 64-bit fingerprint of the whole set, the node, so
 only one representative of each distinct set is compared: copies cost one row
 each. In a bucket not all pairs are made. Each bucket is linked to its pivot,
 the member that sits in the most crowded buckets, which for a group of near
-copies is the text they come from. Only pairs of a bucket that the verified links have not already
-joined to one component are compared afterwards; they are made without limit,
-so whatever the bands find is either joined or verified.
+copies is the text they come from. Partners of a pivot that the verified links
+have not joined to one component are compared afterwards, in blocks that return
+only links, so whatever pairs the bands find are either joined or verified, and
+none are emitted.
 
 With B = 1.001, R = 4 and 32 bands a pair of similarity 0.75 or more shares
 no bucket with a probability under 6e-6.
@@ -254,16 +255,79 @@ def links(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> tuple[
 
     found = _round(pairs, reps, texts)
     roots = components(found)
-    # What the pivots did not join: pairs of a bucket in different components.
-    labelled = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    rest = written(labelled.join(mixed.select("bucket"), "bucket"), "rest")
-    other = rest.select("bucket", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
-    more = rest.join(other, "bucket").where("root < root_b")
-    more = more.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = _round(more.join(tried, ["a", "b"], "left_anti"), reps, texts)
-    return rows, components(found.union(again))
+    return rows, components(found.union(written(_leftovers(pairs, roots, texts), "leftovers")))
+
+
+def _leftovers(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` among the partners of a pivot that it did not join.
+
+    Two nodes of a bucket are partners of its pivot, or one is the pivot and
+    the pair is verified. So for each pivot, its partners outside the group's
+    largest component, the stragglers, are compared with all its partners of
+    another component: on full sets, in blocks of about ``PARTNERS`` by as
+    many, of which a task returns no more links than join its nodes.
+    """
+    group = pairs.select(F.col("a").alias("p"), F.col("b").alias("node")).join(roots, "node", "left")
+    group = group.select("p", "node", F.coalesce("root", "node").alias("root"))
+    shares = group.groupBy("p", "root").agg(F.count("*").alias("n"))
+    shares = shares.groupBy("p").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    mixed = shares.where("all > most").select(
+        "p", "main", F.ceil((F.col("all") - F.col("most")) / PARTNERS).cast("int").alias("lefts"), F.ceil(F.col("all") / PARTNERS).cast("int").alias("rights")
+    )
+    group = written(group.join(mixed, "p"), "mixed")
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = group.where("root != main").select("p", "node", "root", block("node", "lefts").alias("l"), every("rights").alias("r"))
+    right = group.select("p", "node", "root", every("lefts").alias("l"), block("node", "rights").alias("r"))
+    left = left.join(texts, "node").toDF("node", "p", "root", "l", "r", "t")
+    right = right.join(texts, "node").toDF("node_2", "p_2", "root_2", "l_2", "r_2", "t_2")
+    return left.groupBy("p", "l", "r").cogroup(right.groupBy("p_2", "l_2", "r_2")).applyInPandas(_block_links, "a long, b long")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists: a matrix product
+    over the shingles that both lists have, some columns at a time."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    columns = 4096
+    for at in range(0, len(shared), columns):
+        some = shared[at : at + columns]
+        parts = []
+        for (values, rows), sets in zip(sides, (left, right), strict=True):
+            where = np.searchsorted(some, values)
+            where[where == len(some)] = 0
+            hit = some[where] == values
+            part = np.zeros((len(sets), len(some)), dtype=np.float32)
+            part[rows[hit], where[hit]] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _block_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between nodes of different components, as few as join them."""
+    out = []
+    if len(left) and len(right):
+        one, two = [_set_of(t) for t in left["t"]], [_set_of(t) for t in right["t_2"]]
+        both = intersections(one, two)
+        union = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None] - both
+        linked = (100 * both >= PERCENT * union) & (left["root"].to_numpy()[:, None] != right["root_2"].to_numpy()[None])
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for i, j in np.argwhere(linked):
+            x, y = find(int(left["root"].iat[i])), find(int(right["root_2"].iat[j]))
+            if x != y:
+                top[x] = y
+                out.append((int(left["node"].iat[i]), int(right["node_2"].iat[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _round(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
