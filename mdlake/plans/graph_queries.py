@@ -150,7 +150,7 @@ def vocabulary_coverage(spark, sf_dir):
     return relations.vocabulary_coverage(p.select(F.col("p_brand").alias("value")).distinct(), claims)
 
 
-@register("SELECT 'PRT-' || l_partkey AS id, 'ORD-' || l_orderkey AS document, (8 + l_linenumber)::INT AS line FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS l_linenumber FROM lineitem)")
+@register("SELECT 'PRT-' || l_partkey AS id, 'ORD-' || l_orderkey AS document, (7 + l_linenumber)::INT AS line FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, '| ' || l_linenumber || ' | PRT-' || l_partkey || ' | ' || l_quantity::DECIMAL(12,2) || ' | ') - 1 AS l_linenumber FROM lineitem)")
 def minted_ids(spark, sf_dir):
     docs = corpus.documents(r.orders(spark, sf_dir))
     return coverage.mint(docs, [coverage.TraceTarget("ORD", "Items", "Part", r"PRT-\d+")]).select("id", "document", F.col("line").cast("int").alias("line"))

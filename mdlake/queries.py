@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("documents", "graph")
+AREAS = ("documents", "graph", "contract")
 
 
 def collect() -> tuple[dict, dict]:
