@@ -9,6 +9,7 @@ any span in constant time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one call of a kernel handles, a single longer row aside.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,6 +40,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def release() -> None:
+    """Give freed memory back: workers live on between stages, whose needs must not add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, dtype=_U), np.full(n, _INVERSE, dtype=_U)

@@ -12,9 +12,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch for Python functions over whole texts: memory of a
+#: worker, and of Arrow in the JVM, grows with it.
+BATCH_ROWS = 1000
+
 _made: dict[str, SparkSession] = {}
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are bounded to ``BATCH_ROWS``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir`` of the session.
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.llm import _kernel as k
-from mdlake.llm._shared import written
+from mdlake.llm._shared import bounded_batches, written
 
 #: Labelled rows of each language that a model is fitted on, about: those with the least hashes.
 SAMPLE_ROWS = 400
@@ -122,6 +122,7 @@ def text_scores(text: Column, model: Model, markup: bool = False) -> Column:
         if markup:
             texts = pa.array([None if t is None else visible(t) for t in texts.to_pylist()], pa.string())
         count, mean = score_batch(model, texts)
+        k.release()
         scores = mean * np.minimum(count, TEXT_WEIGHT)[:, None]
         lists = pa.FixedSizeListArray.from_arrays(pa.array(scores.ravel()), len(model.languages)).cast(pa.list_(pa.float64()))
         return pa.StructArray.from_arrays([pa.array(count, pa.int64()), lists], names=["n", "scores"])
@@ -224,7 +225,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
 
 def identify_pages(pages: DataFrame, model: Model, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """``page_id, language, confidence, declared, rejected`` of each page."""
-    rows = pages.select(
+    rows = bounded_batches(pages).select(
         F.col(page_id).alias("id"),
         text_scores(F.col(markup), model, markup=True).alias("t"),
         declared_language(F.col(markup)).alias("declared"),
@@ -237,7 +238,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", host: str
     """The documents whose language is identified, with all their columns.
     The column ``declared`` is a declaration, ``host`` a host without domain."""
     none = F.lit(None).cast("string")
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.col(row_id).cast("string").alias("id"),
         F.xxhash64(text).alias("text_hash"),
         text_scores(F.col(text), model).alias("t"),

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.llm import _kernel as k
-from mdlake.llm._shared import drop_written, written
+from mdlake.llm._shared import bounded_batches, drop_written, written
 from mdlake.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -174,6 +174,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 ],
                 names=["id", "text_hash", "n_shingles", "node", "sketch", "bands"],
             )
+        k.release()
 
 
 def _rows(docs: DataFrame, text: str, row_id: str) -> DataFrame:
@@ -183,7 +184,7 @@ def _rows(docs: DataFrame, text: str, row_id: str) -> DataFrame:
 
 def sketches(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     """Set size, node (the set's fingerprint), registers and band keys of each row."""
-    return _rows(docs, text, row_id).mapInArrow(_sketch_batches, _SKETCH)
+    return _rows(bounded_batches(docs), text, row_id).mapInArrow(_sketch_batches, _SKETCH)
 
 
 def _verify(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -327,6 +328,8 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if x != y:
                 top[x] = y
                 out.append((int(left["node"].iat[i]), int(right["node_2"].iat[j])))
+        del one, two, both, union, linked
+    k.release()
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 

@@ -28,9 +28,12 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mdlake.llm import _kernel as k
+from mdlake.llm._shared import bounded_batches
+
 MARK = "▁"
 #: Parts whose pieces a worker remembers; beyond that it starts anew.
-MEMO_PARTS = 500_000
+MEMO_PARTS = 100_000
 
 
 class PieceCoder:
@@ -144,7 +147,10 @@ def encode(text: Column, path: str) -> Column:
     def encoded(texts: pa.Array) -> pa.Array:
         c = coder(path)
         ids = [None if t is None else c.encode(t) for t in (x.as_py() for x in texts)]
-        return pa.array(ids, pa.list_(pa.int32()))
+        out = pa.array(ids, pa.list_(pa.int32()))
+        del ids
+        k.release()
+        return out
 
     return F.arrow_udf(encoded, "array<int>").asNondeterministic()(text)
 
@@ -167,7 +173,7 @@ def encoded(docs, path: str, text: str = "text"):
     ``round_trip``: whether decoding gives back exactly the text."""
     others = [c for c in docs.columns if c != text]
     names = [f"in_{i}" for i in range(len(others))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)], F.col(text).alias("t"))
+    rows = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)], F.col(text).alias("t"))
     rows = rows.withColumn("ids", encode(F.col("t"), path))
     rows = rows.withColumn("back", decode(F.col("ids"), path))
     return rows.select(

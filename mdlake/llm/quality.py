@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.llm import _kernel as k
-from mdlake.llm._shared import written
+from mdlake.llm._shared import bounded_batches, written
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -87,6 +87,7 @@ def measure_batch(texts: pa.Array) -> pa.Array:
     """The measures of each text of an Arrow string array."""
     parts = [_measure_chunk(data, offsets) for _, data, offsets in k.chunks(texts)]
     full = np.concatenate(parts, axis=1) if parts else np.zeros((len(MEASURES), 0), dtype=np.int64)
+    k.release()
     return pa.StructArray.from_arrays([pa.array(x) for x in full], names=list(MEASURES))
 
 
@@ -137,7 +138,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     ``host_rejected`` and ``kept``. Measures are taken in one pass and
     written, as both the hosts and the documents need them."""
     others = [c for c in docs.columns if c != text]
-    narrow = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(others)], measures(F.col(text)).alias("m"))
+    narrow = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(others)], measures(F.col(text)).alias("m"))
     host_at = f"in_{others.index(host)}"
     narrow = written(narrow.withColumn("failed", base_failed(F.col("m"))), "quality")
     bad = host_rates(narrow, host_at, "failed", max_rate).where("host_rejected").select("host", "host_rejected")
@@ -157,7 +158,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     Texts are measured twice rather than written: once for the hosts' rates,
     once for the documents.
     """
-    measured = docs.select(F.col(host).alias("h"), base_failed(measures(F.col(text))).alias("failed"))
+    measured = bounded_batches(docs).select(F.col(host).alias("h"), base_failed(measures(F.col(text))).alias("failed"))
     bad = written(host_rates(measured, "h", "failed", max_rate).where("host_rejected").select("host"), "hosts")
     m = "m_" + "_".join(docs.columns)
     good = docs.withColumn(m, measures(F.col(text))).where(~base_failed(F.col(m))).drop(m)
