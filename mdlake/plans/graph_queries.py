@@ -337,3 +337,15 @@ def paths(spark, sf_dir):
     p = r.table(spark, sf_dir, "part")
     link = F.concat(F.lit(".././q/../x-"), "p_size", F.lit(".md#part"))
     return p.select("p_partkey", t.resolve_link(F.lit("a/b/c/doc.md"), link).alias("resolved"), corpus.relative_path(F.lit("a/b/doc.md"), F.lit("c/d.md")).alias("relative"))
+
+
+@register(f"""WITH {_EDGE_SQL} SELECT 'documents ORD' AS metric, count(*) AS value FROM orders UNION ALL SELECT 'documents CUS', count(*) FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'documents NAT', count(*) FROM nation
+  UNION ALL SELECT 'documents REG', count(*) FROM region UNION ALL SELECT 'edges resolved', count(*) FROM edges WHERE ok UNION ALL SELECT 'edges dangling', count(*) FROM edges WHERE NOT ok
+  UNION ALL SELECT 'duplicate ids', 0""")
+def corpus_report(spark, sf_dir):
+    """The flagship: a corpus in numbers, from Markdown text to resolved edges."""
+    docs, e = _authored(spark, sf_dir)
+    kinds = docs.groupBy(F.concat(F.lit("documents "), "type").alias("metric")).agg(F.count("*").alias("value"))
+    edges = e.groupBy(F.concat(F.lit("edges "), "resolution").alias("metric")).agg(F.count("*").alias("value"))
+    dup = corpus.duplicates(docs).agg(F.lit("duplicate ids").alias("metric"), F.count("*").alias("value"))
+    return kinds.unionByName(edges).unionByName(dup).orderBy("metric")

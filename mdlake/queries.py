@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("documents", "graph", "contract")
+AREAS = ("documents", "graph", "contract", "semantic")
 
 
 def collect() -> tuple[dict, dict]:
