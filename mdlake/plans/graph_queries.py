@@ -309,7 +309,7 @@ def index_completeness(spark, sf_dir):
     leaf = c.select(F.concat("folder", "name").alias("path"), F.lit("---\nid: x\n---\nbody").alias("raw"))
     link = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("- [c](./"), "name", F.lit(")")))
     index = c.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list(link)), "\n").alias("links"))
-    index = index.select(F.concat("folder", F.lit("index.md")).alias("path"), F.concat(F.lit("---\nokf_version: 1\n---\n# I\n## Contents\n"), "links", F.lit("\n## Other\n[x](C5.md)")).alias("raw"))
+    index = index.select(F.concat("folder", F.lit("index.md")).alias("path"), F.concat(F.lit("---\nkind: index\n---\n# I\n## Contents\n"), "links", F.lit("\n## Other\n[x](C5.md)")).alias("raw"))
     docs = corpus.documents(leaf.unionByName(index))
     return corpus.index_gaps(docs)
 
