@@ -76,8 +76,9 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
-    """Naive Bayes over hashed n-grams, with add-one-half smoothing."""
-    languages = tuple(sorted(set(labels)))
+    """Naive Bayes over hashed n-grams, with add-one-half smoothing. Without
+    labelled texts the only language is ``und``."""
+    languages = tuple(sorted(set(labels))) or ("und",)
     counts = np.full((BUCKETS, len(languages)), 0.5)
     for text, label in zip(texts, labels, strict=True):
         data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
