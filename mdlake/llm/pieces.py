@@ -32,8 +32,8 @@ from mdlake.llm import _kernel as k
 from mdlake.llm._shared import bounded_batches
 
 MARK = "▁"
-#: Parts whose pieces a worker remembers; beyond that it starts anew.
-MEMO_PARTS = 100_000
+#: Parts whose pieces a worker remembers, in each of two generations.
+MEMO_PARTS = 150_000
 
 
 class PieceCoder:
@@ -64,6 +64,7 @@ class PieceCoder:
         self.length = np.array([len(r) for r in raw], dtype=np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         """Identifiers of the pieces of a text, int32."""
@@ -71,47 +72,44 @@ class PieceCoder:
             return np.zeros(0, dtype=np.int32)
         # Spaces become marks part by part; a mark of the text itself is kept apart as a control character.
         parts = _PARTS.findall(" " + text)
-        memo = self.memo
+        memo, older = self.memo, self.older
         found = list(map(memo.get, parts))
         if None in found:
-            if len(memo) >= MEMO_PARTS:
-                memo.clear()
+            if len(memo) >= MEMO_PARTS:  # a generation: what is still in use moves on
+                memo, older = self.memo, self.older = {}, memo
             for i, f in enumerate(found):
                 if f is None:
-                    found[i] = f = memo.get(parts[i]) or self.best(parts[i])
-                    if len(parts[i]) <= 64:
-                        memo[parts[i]] = f
+                    part = parts[i]
+                    found[i] = f = memo.get(part) or older.get(part) or self.best(part)
+                    if len(part) <= 64:
+                        memo[part] = f
         return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def best(self, part: str) -> bytes:
         """The best pieces of one part, as int32 bytes."""
         # No piece has this private code point, so a mark of the text matches nothing.
         s = part.replace(MARK, "\U0010ffff").replace(" ", MARK)
-        n = len(s)
-        score: list[float | None] = [None] * (n + 1)
+        n, unknown = len(s), self.unknown
+        score = [_NONE] * (n + 1)
         score[0] = 0.0
         back = [(1, -1)] * (n + 1)  # length and identifier of the last piece; -1: bytes
-        single = [False] * (n + 1)
-        done, unknown = 0, self.unknown
-
-        def close(to: int) -> None:
-            """Positions up to ``to`` have all their pieces: let bytes compete where no piece is a single character."""
-            nonlocal done
-            while done < to:
-                done += 1
-                if not single[done]:
-                    c = score[done - 1] + unknown
-                    if score[done] is None or c > score[done]:
-                        score[done], back[done] = c, (1, -1)
-
+        done, single = 0, False  # positions up to ``done`` are settled; whether a piece is the one character before the next
         for end, (length, piece, value) in self.automaton.iter(s):
-            close(end)
+            while done < end:  # bytes compete where no piece is a single character
+                done += 1
+                if not single and score[done - 1] + unknown > score[done]:
+                    score[done], back[done] = score[done - 1] + unknown, (1, -1)
+                single = False
             c = score[end + 1 - length] + value
-            if score[end + 1] is None or c > score[end + 1]:
+            if c > score[end + 1]:
                 score[end + 1], back[end + 1] = c, (length, piece)
             if length == 1:
-                single[end + 1] = True
-        close(n)
+                single = True
+        while done < n:
+            done += 1
+            if not single and score[done - 1] + unknown > score[done]:
+                score[done], back[done] = score[done - 1] + unknown, (1, -1)
+            single = False
         out, at = [], n
         while at:
             length, piece = back[at]
@@ -133,6 +131,7 @@ class PieceCoder:
         return self.flat[places].tobytes()[1:]  # without the space that encoding puts first
 
 
+_NONE = float("-inf")
 _PARTS = re.compile(r" +[^ ]*")
 
 

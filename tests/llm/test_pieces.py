@@ -71,4 +71,4 @@ def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "MEMO_PARTS", 2)
     c, fresh = pieces.PieceCoder(PATH), pieces.coder(PATH)
     for text in ("one two three", "three four", "one two"):
-        assert c.encode(text).tolist() == fresh.encode(text).tolist() and len(c.memo) <= 5
+        assert c.encode(text).tolist() == fresh.encode(text).tolist() and len(c.memo) <= 5 and len(c.older) <= 5
