@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -97,25 +100,49 @@ def dead_declarations(docs: DataFrame, kinds: list[str]) -> DataFrame:
     return declared.join(docs.select("type").distinct(), "type", "left_anti").orderBy("type")
 
 
-def cycles(edges: DataFrame, verb: str, max_hops: int = 20) -> DataFrame:
-    """``label, hops`` of each cycle of resolved edges of a verb up to
-    ``max_hops`` long: its smallest node, once a shortest cycle.
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without lineage, written to the checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # only local sessions name none
+        folder = tempfile.mkdtemp(prefix="mdlake-")
+        atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
-    The frontier holds ``(start, node)`` pairs once; starts are the smallest
-    of their cycle, so that each is followed through larger nodes only.
+
+def cycles(edges: DataFrame, verb: str) -> DataFrame:
+    """``label, hops`` of each cycle of resolved edges of a verb, however long:
+    its smallest node, once a shortest cycle.
+
+    A breadth-first search from all starts at once. Each ``(start, node)`` pair
+    is reached once; starts are the smallest of their cycle, so that each is
+    followed through larger nodes only, until its cycle closes or it reaches no
+    new node. A round is a few jobs, and there are as many as the longest search
+    has hops; a ring of n nodes has about n * n / 2 pairs.
     """
     e = edges.where((F.col("edge_type") == verb) & (F.col("resolution") == "resolved")).select("source", "target").distinct()
-    # Only nodes with edges both ways can be on a cycle.
-    for _ in range(3):
-        e = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-    e.createOrReplaceTempView("_cycle_edges")
-    return e.sparkSession.sql(f"""
-        WITH RECURSIVE walk(start, node, hops) AS (
-          SELECT source, target, 1 FROM _cycle_edges WHERE target >= source
-          UNION ALL
-          SELECT w.start, e.target, w.hops + 1 FROM walk w JOIN _cycle_edges e ON e.source = w.node
-          WHERE w.node <> w.start AND e.target >= w.start AND w.hops < {int(max_hops)})
-        SELECT start AS label, min(hops) AS hops FROM walk WHERE node = start GROUP BY start ORDER BY start""")
+    e = _cut(e)
+    # Only nodes with edges both ways can be on a cycle: chains are taken off from both ends.
+    n = e.count()
+    while n:
+        less = e
+        for _ in range(3):
+            less = less.join(less.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(less.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        e, before = _cut(less.select("source", "target")), n
+        n = e.count()
+        if n == before:
+            break
+    seen = new = _cut(e.where("target >= source").select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("hops")))
+    hops = 1
+    while new.limit(1).count():
+        hops += 1
+        closed = seen.where("node = start").select("start")
+        step = new.join(closed, "start", "left_anti").join(e, F.col("node") == F.col("source")).where("target >= start").select("start", F.col("target").alias("node")).distinct()
+        new = _cut(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(hops).alias("hops")))
+        seen = seen.unionByName(new)
+        if hops % 10 == 0:
+            seen = _cut(seen.coalesce(e.sparkSession.sparkContext.defaultParallelism))
+    return seen.where("node = start").select(F.col("start").alias("label"), "hops").orderBy("label")
 
 
 @dataclass
