@@ -163,12 +163,13 @@ def combinatorial_tuples(values: DataFrame, strength: int, excluded: DataFrame |
     that hold an excluded pair (``dim_a, value_a, dim_b, value_b``, ``dim_a < dim_b``).
 
     The tuples are the result itself; dimensions are joined in order, an
-    inequality join on their names.
+    inequality join on their names. The values are broadcast: they are few
+    beside their tuples, and a product by partitions has their number squared.
     """
     out = values.select(*[F.col(c).alias(f"{c}_1") for c in ("dimension", "value")])
     for i in range(2, strength + 1):
         more = values.select(*[F.col(c).alias(f"{c}_{i}") for c in ("dimension", "value")])
-        out = out.join(more, F.col(f"dimension_{i - 1}") < F.col(f"dimension_{i}"))
+        out = out.join(F.broadcast(more), F.col(f"dimension_{i - 1}") < F.col(f"dimension_{i}"))
     if excluded is not None:
         for a, b in combinations(range(1, strength + 1), 2):
             pair = excluded.select(F.col("dim_a").alias(f"dimension_{a}"), F.col("value_a").alias(f"value_{a}"), F.col("dim_b").alias(f"dimension_{b}"), F.col("value_b").alias(f"value_{b}"))

@@ -245,7 +245,18 @@ def obligations(spark, sf_dir):
 @register("""WITH v AS (SELECT DISTINCT 'brand' AS d, p_brand AS v FROM part WHERE p_size < 4 UNION SELECT DISTINCT 'size', p_size::VARCHAR FROM part WHERE p_size < 4 UNION SELECT 'x', unnest(['a', 'b']))
   SELECT a.v AS value_1, b.v AS value_2 FROM v a JOIN v b ON a.d < b.d WHERE NOT (a.d = 'size' AND a.v = '1' AND b.d = 'x' AND b.v = 'a')""")
 def combinatorial_tuples(spark, sf_dir):
-    p = r.table(spark, sf_dir, "part").where("p_size < 4")
+    """The parts that its SQL reads; :func:`combinatorial_tuples_all` reads all."""
+    return _tuples(spark, r.table(spark, sf_dir, "part").where("p_size < 4"))
+
+
+@register("""WITH v AS (SELECT DISTINCT 'brand' AS d, p_brand AS v FROM part UNION SELECT DISTINCT 'size', p_size::VARCHAR FROM part UNION SELECT 'x', unnest(['a', 'b']))
+  SELECT a.v AS value_1, b.v AS value_2 FROM v a JOIN v b ON a.d < b.d WHERE NOT (a.d = 'size' AND a.v = '1' AND b.d = 'x' AND b.v = 'a')""")
+def combinatorial_tuples_all(spark, sf_dir):
+    """Pairs of every brand and every size of the part table."""
+    return _tuples(spark, r.table(spark, sf_dir, "part"))
+
+
+def _tuples(spark, p):
     v = p.select(F.lit("brand").alias("dimension"), F.col("p_brand").alias("value")).union(p.select(F.lit("size"), F.col("p_size").cast("string"))).distinct()
     v = v.union(spark.createDataFrame([("x", "a"), ("x", "b")], v.schema))
     bad = spark.createDataFrame([("size", "1", "x", "a")], "dim_a string, value_a string, dim_b string, value_b string")
