@@ -22,9 +22,9 @@ no bucket with a probability under 6e-6.
 
 Defined cases: a null or empty text has an empty set and is linked with
 nothing, not even with its like; a text of one to four words has one shingle,
-all of it; each row is a document of its own, so of rows that repeat an
-identifier with one text all are kept or none; a null identifier is larger
-than any other.
+all of it; each row is a document of its own, so rows that repeat an
+identifier with one text have one verdict, and :func:`keep_first` chooses one of
+those kept; a null identifier is larger than any other.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.llm import _kernel as k
@@ -349,7 +349,7 @@ def judge(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFr
     ``component_id`` is the smallest identifier reachable over links, and a
     row is kept if it is its own.
     """
-    return _judged(docs, text, row_id).drop("text_hash").withColumnRenamed("id", row_id)
+    return _judged(docs, text, row_id).drop("text_hash", "root").withColumnRenamed("id", row_id)
 
 
 def _judged(docs: DataFrame, text: str, row_id: str) -> DataFrame:
@@ -362,14 +362,34 @@ def _judged(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     )
     smallest = label.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
     out = label.join(smallest, "root", "left").select(
-        "id", "text_hash", "n_shingles", F.coalesce("component", "id").alias("component_id")
+        "id", "text_hash", "root", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    gone = _judged(docs, text, row_id).where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    """One document of each component, with all its columns; a text without
+    words has none and stays.
+
+    It is the one of the smallest identifier. Among rows that share it, or of a
+    component whose identifiers are all null, it is the one of the least hash of
+    the text; among rows equal in both, the one of the least columns as JSON.
+    """
+    judged = written(_judged(docs, text, row_id), "judged")
+    held = judged.where(F.col("kept") & F.col("root").isNotNull()).groupBy("root", "id", "text_hash").agg(F.count("*").alias("rows"))
+    least = held.groupBy("root").agg(F.count("*").alias("kinds"), F.min("text_hash").alias("least"))
+    held = written(held.join(least, "root").where("kinds > 1 OR rows > 1"), "held")
+    names = [F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
+    gone = judged.where(~F.col("kept")).select(*names).union(held.where("text_hash != least").select(*names))
     gone = written(gone.distinct(), "gone")
-    same = docs[row_id].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text]) == gone["gone_hash"])
-    return docs.join(gone, same, "left_anti")
+
+    def same(keys: DataFrame) -> Column:
+        return docs[row_id].eqNullSafe(keys["gone_id"]) & (F.xxhash64(docs[text]) == keys["gone_hash"])
+
+    out = docs.join(gone, same(gone), "left_anti")
+    again = held.where("text_hash = least AND rows > 1").select(*names)
+    if not again.limit(1).count():
+        return out
+    every = F.struct(*[docs[c] for c in docs.columns])
+    one = docs.join(again, same(again), "left_semi").groupBy(docs[row_id], F.xxhash64(docs[text])).agg(F.min_by(every, F.to_json(every)).alias("row"))
+    return out.join(again, same(again), "left_anti").unionByName(one.select("row.*"))

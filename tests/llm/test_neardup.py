@@ -105,3 +105,15 @@ def test_components(spark, seed):
             root[hi] = lo
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_keep_first_keeps_one_row_of_a_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "y"), (1, a, "x"), (1, a + " more", "z"), (2, a, "w"), (None, a, "v")]  # repeated rows, and a near copy of the same identifier
+    rows += [(None, b, "p"), (None, b, "o"), (None, b + " more", "q"), (7, c, "n"), (7, c, "n")]  # only null identifiers; rows equal in all columns
+    rows += [(8, "", "e"), (8, "", "e"), (None, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = [tuple(r) for r in neardup.keep_first(docs).collect()]
+    assert sorted(str(r[0]) for r in got) == ["1", "7", "8", "8", "None", "None"]
+    assert [r[2] in "xz" for r in got if r[0] == 1] == [True] and [r[2] in "oq" for r in got if r[0] is None and r[1]] == [True]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in neardup.keep_first(docs.repartition(3)).collect()), key=str)
