@@ -12,7 +12,11 @@ Defined cases: a null text, or one without n-grams, has no text evidence; a
 null or unknown declaration or suffix says nothing; a row without a host has
 the prior of the table; ties go to the first language in sorted order; an
 empty table gives no rows; repeated rows count each. A row is rejected if its
-text has no n-grams or its language stays below ``MIN_CONFIDENCE``.
+text has no n-grams, if its language stays below ``MIN_CONFIDENCE``, or if the
+text is far less likely per n-gram under each language than held-out texts of
+the training sample are: the posterior is closed over the trained languages, so
+other scripts and letter junk would else be given to one of them. A language
+that is much like a trained one is not told from it.
 """
 
 from __future__ import annotations
@@ -40,6 +44,10 @@ SMOOTHING = {"host": 5.0, "domain": 10.0, "suffix": 20.0, "table": 1.0}
 #: How often a declaration and a country's suffix are right.
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.85, 0.7
 MIN_CONFIDENCE = 0.5
+#: How far the mean log likelihood of an n-gram may be below that of held-out
+#: texts: nats for any text, and standard errors for short ones, in which a
+#: letter counts in ``OVERLAP`` n-grams.
+FAR, FAR_ERRORS, OVERLAP = 4.0, 3.0, 5.0
 #: Languages of country suffixes.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en"}
 
@@ -48,10 +56,12 @@ _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities of hashed n-grams: one row a bucket, one column a language."""
+    """Log probabilities of hashed n-grams: one row a bucket, one column a language.
+    ``typical`` has, by language, their mean over held-out texts and the deviation of an n-gram."""
 
     languages: tuple[str, ...]
     table: np.ndarray
+    typical: tuple[tuple[float, float], ...]
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,17 +85,43 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
+def _table(texts: list[str], labels: list[str], languages: tuple[str, ...]) -> np.ndarray:
+    counts = np.full((BUCKETS, len(languages)), 0.5)
+    for text, label in zip(texts, labels, strict=True):
+        counts[:, languages.index(label)] += np.bincount(_grams_of(text), minlength=BUCKETS)
+    return np.log(counts / counts.sum(0)).astype(np.float32)
+
+
+def _grams_of(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+    return _grams(data, np.array([0, len(data)]))[0]
+
+
+def _typical(texts: list[str], labels: list[str], languages: tuple[str, ...]) -> tuple[tuple[float, float], ...]:
+    """Each half of a language's texts under a table of the other halves. A
+    language with texts of n-grams in only one half has no bound."""
+    seen = dict.fromkeys(languages, 0)
+    halves: tuple[list, list] = ([], [])
+    for text, label in zip(texts, labels, strict=True):
+        if len(_grams_of(text)):
+            halves[seen[label] % 2].append((text, label))
+            seen[label] += 1
+    means, squares = ([[] for _ in languages] for _ in range(2))
+    for fitted, held in (halves, halves[::-1]):
+        table = _table([t for t, _ in fitted], [g for _, g in fitted], languages)
+        for text, label in held:
+            i = languages.index(label)
+            scores = table[_grams_of(text), i].astype(np.float64)
+            means[i].append(scores.mean())
+            squares[i].append(scores.var())
+    return tuple((float(np.mean(m)), float(np.sqrt(np.mean(v)))) if seen[g] > 1 else (-np.inf, 0.0) for g, m, v in zip(languages, means, squares, strict=True))
+
+
 def fit(texts: list[str], labels: list[str]) -> Model:
     """Naive Bayes over hashed n-grams, with add-one-half smoothing. Without
     labelled texts the only language is ``und``."""
     languages = tuple(sorted(set(labels))) or ("und",)
-    counts = np.full((BUCKETS, len(languages)), 0.5)
-    for text, label in zip(texts, labels, strict=True):
-        data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-        if len(data):
-            grams, _ = _grams(data, np.array([0, len(data)]))
-            counts[:, languages.index(label)] += np.bincount(grams, minlength=BUCKETS)
-    return Model(languages, np.log(counts / counts.sum(0)).astype(np.float32))
+    return Model(languages, _table(texts, labels, languages), _typical(texts, labels, languages))
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
@@ -155,6 +191,16 @@ def _softmax(scores: Column) -> Column:
     return F.transform(F.array(top), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))[0]
 
 
+def _likely(t: str, model: Model) -> Column:
+    """Whether a text is about as likely under some language as its own texts are."""
+    n = F.greatest(F.col(t)["n"], F.lit(1))
+    share = F.least(n, F.lit(int(TEXT_WEIGHT)))
+    out = F.lit(False)
+    for i, (mean, deviation) in enumerate(model.typical):
+        out = out | (F.col(t)["scores"][i] / share >= mean - FAR - FAR_ERRORS * deviation * F.sqrt(OVERLAP / n))
+    return out
+
+
 def _counts(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Rows and sums of text posteriors by ``keys``; partial before the shuffle."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(size)])
@@ -220,7 +266,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     out = out.withColumn("language", F.element_at(F.array(*[F.lit(x) for x in languages]), best))
     out = out.withColumn("confidence", F.coalesce(F.array_max("posterior"), F.array_max(flat)))
-    rejected = (F.coalesce(F.col("t.n"), F.lit(0)) == 0) | (F.col("confidence") < MIN_CONFIDENCE)
+    rejected = (F.coalesce(F.col("t.n"), F.lit(0)) == 0) | (F.col("confidence") < MIN_CONFIDENCE) | ~_likely("t", model)
     return out.withColumn("rejected", rejected).drop("c", "up", "n", "p", "everything", "posterior")
 
 

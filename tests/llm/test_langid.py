@@ -61,3 +61,15 @@ def test_trained_and_kept(spark):
     assert model.languages == ("de", "en", "fr")
     kept = langid.keep_identified(docs, model)
     assert kept.columns == docs.columns and kept.count() == 150
+
+
+@pytest.mark.parametrize("languages", [("en", "de", "fr"), ("en",)])
+def test_text_of_no_trained_language(spark, languages):
+    texts, labels = zip(*[(t, g) for g in languages for t in corpus(g, 200, 100)], strict=True)
+    rng = np.random.default_rng(3)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 300)) for _ in range(5)]
+    rows = [(t, "en", "s") for t in corpus("en", 30, 12)] + [("the and", "en", "s")]
+    odd = [(t, "en", "s") for t in ["Быстрая коричневая лиса прыгает через ленивую собаку у старого дома", "これは日本語の文章です。とても長い文章ではありません。", *junk]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
+    kept = langid.keep_identified(docs, langid.fit(list(texts), list(labels)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(rows)))
