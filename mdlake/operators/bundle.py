@@ -61,15 +61,15 @@ def corpus_findings(c: Corpus, registry: Registry, required: list[relations.Requ
     foreign = (F.size("authorities") > 0) & (F.col("member") != "")
     out = [
         _shape(key(e.where((F.col("resolution") == "dangling") & ~foreign)), "refs", "dangling-reference", F.col("target")),
-        _shape(corpus.duplicates(c.docs).withColumnRenamed("id", "key"), "bundle", "duplicate-artifact-id", F.col("path")),
+        _shape(corpus.duplicates(c.heads).withColumnRenamed("id", "key"), "bundle", "duplicate-artifact-id", F.col("path")),
         _shape(corpus.index_gaps(c.docs).withColumnRenamed("folder", "key"), "bundle", "index-completeness", F.col("missing")),
     ]
     allowed = registry.allowed_table(c.docs.sparkSession)
     inverse = registry.inverse_verbs()
-    out.append(_shape(key(relations.disallowed_edges(c.docs, corpus.relationships(c.docs), allowed.select("type", "edge_type"), inverse)), "edges", "disallowed-edge-type", F.col("edge_type")))
-    out.append(_shape(key(relations.wrong_target_kinds(c.docs, e, allowed, inverse, registry.role_map())), "edges", "edge-target-kind", F.col("target")))
+    out.append(_shape(key(relations.disallowed_edges(c.heads, corpus.relationships(c.heads), allowed.select("type", "edge_type"), inverse)), "edges", "disallowed-edge-type", F.col("edge_type")))
+    out.append(_shape(key(relations.wrong_target_kinds(c.heads, e, allowed, inverse, registry.role_map())), "edges", "edge-target-kind", F.col("target")))
     if required:
-        out.append(_shape(relations.required_gaps(c.docs, e, list(required), inverse), "trace", "required-relation", F.concat_ws(" ", "rule", "finding")))
+        out.append(_shape(relations.required_gaps(c.heads, e, list(required), inverse), "trace", "required-relation", F.concat_ws(" ", "rule", "finding")))
     return out
 
 

@@ -4,6 +4,9 @@ Edges come from three harvests, frontmatter relationships, ``ix://`` references
 and relative links; they are resolved by a left equi-join with the members'
 identifiers and collapsed by ``(member, source, target, type)``. Identifier
 tables are small next to the corpus or not: the planner chooses the join.
+
+A corpus parses its texts once: what the rules need of a document, its header
+and its references, is written as a narrow table without the texts.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Window as W
 
 from mdlake.functions import text as t
 from mdlake.operators import parse
+from mdlake.shared import written
 
 _RELATIONSHIPS = "array<struct<target:string,type:string>>"
 
@@ -48,8 +52,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def relationships(docs: DataFrame) -> DataFrame:
     """Frontmatter relationships; the default verb is ``references``, and one without target is skipped."""
-    listed = F.from_json(parse.fm("relationships"), _RELATIONSHIPS)
-    r = docs.select("member", F.col("key").alias("source"), "path", F.explode(listed).alias("r")).where("r.target IS NOT NULL AND r.target <> ''")
+    r = docs.select("member", F.col("key").alias("source"), "path", F.explode(_found(docs, "relationships")).alias("r")).where("r.target IS NOT NULL AND r.target <> ''")
     return r.select("member", "source", "path", F.col("r.target").alias("reference"), F.coalesce("r.type", F.lit("references")).alias("edge_type"), F.lit(True).alias("authored"))
 
 
@@ -57,37 +60,63 @@ def relationships(docs: DataFrame) -> DataFrame:
 _IX = r"ix://(?:[\w.-]*[A-Za-z0-9][\w.-]*+/)+[\w.-]*[A-Za-z0-9](?:[\w-]|\.(?=[\w-]))*+(?!/)"
 
 
+_LINK = r"(?<!!)\[[^\]]*\]\(\s*<?((?!\w+:)[^)\s>#?]+\.md)(?:[#?][^)\s>]*)?>?(?:\s+[^)]*)?\)"
+
+
+def _found(docs: DataFrame, name: str) -> Column:
+    """A harvest of :func:`harvested` documents, or taken now from their texts."""
+    if name in docs.columns:
+        return F.col(name)
+    if name == "relationships":
+        return F.from_json(parse.fm("relationships"), _RELATIONSHIPS)
+    return F.array_distinct(F.regexp_extract_all("body", F.lit(_IX), 0) if name == "ix" else F.regexp_extract_all("body", F.lit(_LINK), 1))
+
+
+def harvested(docs: DataFrame) -> DataFrame:
+    """The narrow table of documents, without texts: their header fields and
+    references. It is written, so that each text is parsed once."""
+    head = [c for c in docs.columns if c not in ("body", "raw")]
+    rows = docs.select(*head, *[_found(docs, n).alias(n) for n in ("relationships", "ix", "links")])
+    return written(rows, "documents")
+
+
 def ix_references(docs: DataFrame) -> DataFrame:
-    r = docs.select("member", F.col("key").alias("source"), "path", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(_IX), 0))).alias("reference"))
+    r = docs.select("member", F.col("key").alias("source"), "path", F.explode(_found(docs, "ix")).alias("reference"))
     return r.select("*", F.lit("references").alias("edge_type"), F.lit(False).alias("authored"))
 
 
 def link_references(docs: DataFrame) -> DataFrame:
     """Relative links to ``.md`` files; index pages are no sources."""
-    found = F.regexp_extract_all("body", F.lit(r"(?<!!)\[[^\]]*\]\(\s*<?((?!\w+:)[^)\s>#?]+\.md)(?:[#?][^)\s>]*)?>?(?:\s+[^)]*)?\)"), 1)
-    r = docs.where(~F.rlike("path", F.lit(r"(?:\A|/)index\.md\z"))).select("member", F.col("key").alias("source"), "path", F.explode(F.array_distinct(found)).alias("link"))
+    r = docs.where(~F.rlike("path", F.lit(r"(?:\A|/)index\.md\z"))).select("member", F.col("key").alias("source"), "path", F.explode(_found(docs, "links")).alias("link"))
     return r.select("member", "source", "path", t.resolve_link(F.col("path"), F.col("link")).alias("target_path"), F.col("link").alias("reference"))
 
 
 @dataclass
 class Corpus:
-    """Documents and their edges."""
+    """Documents and their edges. ``docs`` have their texts, which whatever reads
+    them parses again; ``heads`` are the same documents, narrow and written."""
 
     docs: DataFrame
     edges: DataFrame
+    heads: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.heads is None:
+            self.heads = self.docs
 
     @classmethod
     def of(cls, docs: DataFrame) -> Corpus:
-        return cls(docs, resolve(docs))
+        heads = harvested(docs)
+        return cls(docs, written(resolve(heads), "edges"), heads)
 
     def by_id(self, identifier: str) -> DataFrame:
-        return first_wins(self.docs).where((F.col("id") == identifier) & F.col("is_first"))
+        return first_wins(self.heads).where((F.col("id") == identifier) & F.col("is_first"))
 
     def by_qualified_id(self, member: str, identifier: str) -> DataFrame:
         return self.by_id(identifier).where(F.col("member") == member)
 
     def by_type(self, kind: str) -> DataFrame:
-        return self.docs.where(F.col("type") == kind).orderBy("key")
+        return self.heads.where(F.col("type") == kind).orderBy("key")
 
     def referencing(self, key: str) -> DataFrame:
         return self.edges.where((F.col("target") == key) & (F.col("resolution") == "resolved")).orderBy("source", "edge_type")
@@ -102,13 +131,13 @@ class Corpus:
         """Documents of a type without a resolved edge of a verb (toward a type)."""
         e = self.edges.where((F.col("edge_type") == missing) & (F.col("resolution") == "resolved"))
         if toward is not None:
-            to = self.docs.where(F.col("type") == toward).select(F.col("member").alias("target_member"), F.col("key").alias("target"))
+            to = self.heads.where(F.col("type") == toward).select(F.col("member").alias("target_member"), F.col("key").alias("target"))
             e = e.join(to, ["target_member", "target"], "left_semi")
-        return self.docs.where(F.col("type") == kind).join(e.select("member", F.col("source").alias("key")), ["member", "key"], "left_anti").orderBy("key")
+        return self.heads.where(F.col("type") == kind).join(e.select("member", F.col("source").alias("key")), ["member", "key"], "left_anti").orderBy("key")
 
     def diagnostics(self) -> DataFrame:
-        dup = duplicates(self.docs).select("path", F.concat(F.lit("duplicate-artifact-id "), "id").alias("diagnostic"))
-        untyped = self.docs.where("type IS NULL").select("path", F.lit("untyped-artifact").alias("diagnostic"))
+        dup = duplicates(self.heads).select("path", F.concat(F.lit("duplicate-artifact-id "), "id").alias("diagnostic"))
+        untyped = self.heads.where("type IS NULL").select("path", F.lit("untyped-artifact").alias("diagnostic"))
         return dup.unionByName(untyped).orderBy("path", "diagnostic")
 
 

@@ -28,8 +28,9 @@ ITEM = "struct<line:int,raw:string,title:string,description:string>"
 BLOCK = "struct<index:int,line:int,language:string,source:string,section:string,tag:string>"
 
 
-class _Core(yaml.SafeLoader):
-    """YAML 1.2 core scalars: no yes/no booleans, sexagesimals or dates."""
+class _Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+    """YAML 1.2 core scalars: no yes/no booleans, sexagesimals or dates. The
+    parser of the C library where it is installed."""
 
 
 _Core.yaml_implicit_resolvers = {}

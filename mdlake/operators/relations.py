@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mdlake.operators import parse
 from mdlake.operators.corpus import relation_edges
+from mdlake.shared import drop_written, written
 
 
 def target_satisfies(tokens: Column, kind: Column, object_: Column, roles: Column) -> Column:
@@ -100,16 +98,6 @@ def dead_declarations(docs: DataFrame, kinds: list[str]) -> DataFrame:
     return declared.join(docs.select("type").distinct(), "type", "left_anti").orderBy("type")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without lineage, written to the checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only local sessions name none
-        folder = tempfile.mkdtemp(prefix="mdlake-")
-        atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def cycles(edges: DataFrame, verb: str) -> DataFrame:
     """``label, hops`` of each cycle of resolved edges of a verb, however long:
     its smallest node, once a shortest cycle.
@@ -121,27 +109,30 @@ def cycles(edges: DataFrame, verb: str) -> DataFrame:
     has hops; a ring of n nodes has about n * n / 2 pairs.
     """
     e = edges.where((F.col("edge_type") == verb) & (F.col("resolution") == "resolved")).select("source", "target").distinct()
-    e = _cut(e)
+    e = written(e, "cycles")
     # Only nodes with edges both ways can be on a cycle: chains are taken off from both ends.
     n = e.count()
     while n:
         less = e
         for _ in range(3):
             less = less.join(less.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(less.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        e, before = _cut(less.select("source", "target")), n
+        e, before = written(less.select("source", "target"), "cycles"), n
         n = e.count()
         if n == before:
             break
-    seen = new = _cut(e.where("target >= source").select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("hops")))
-    hops = 1
+    seen = new = written(e.where("target >= source").select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("hops")), "cycles")
+    parts, hops = [seen], 1
     while new.limit(1).count():
         hops += 1
         closed = seen.where("node = start").select("start")
         step = new.join(closed, "start", "left_anti").join(e, F.col("node") == F.col("source")).where("target >= start").select("start", F.col("target").alias("node")).distinct()
-        new = _cut(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(hops).alias("hops")))
+        new = written(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(hops).alias("hops")), "cycles")
+        parts.append(new)
         seen = seen.unionByName(new)
         if hops % 10 == 0:
-            seen = _cut(seen.coalesce(e.sparkSession.sparkContext.defaultParallelism))
+            seen = written(seen.coalesce(e.sparkSession.sparkContext.defaultParallelism), "cycles")
+            drop_written(*parts[:-1])  # the last one is the next round's start
+            parts = [seen, new]
     return seen.where("node = start").select(F.col("start").alias("label"), "hops").orderBy("label")
 
 

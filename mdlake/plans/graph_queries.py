@@ -28,8 +28,8 @@ def _docs(spark, sf_dir, order_filter="true"):
 
 
 def _authored(spark, sf_dir, order_filter="true"):
-    docs = _docs(spark, sf_dir, order_filter)
-    return docs, corpus.resolve(docs).where("authored")
+    c = corpus.Corpus.of(_docs(spark, sf_dir, order_filter))
+    return c.heads, c.edges.where("authored")
 
 
 def _edges(spark, sf_dir):
@@ -52,8 +52,7 @@ def edges_dangling(spark, sf_dir):
   UNION ALL SELECT 'ORD-' || o_orderkey, 'CUS-' || o_custkey, 'dangling' FROM orders WHERE o_custkey % 7 = 0""")
 def body_references(spark, sf_dir):
     """Relative links and ``ix://`` references; two spellings of one target are one edge."""
-    docs = _docs(spark, sf_dir)
-    e = corpus.resolve(docs).where("edge_type = 'references'")
+    e = corpus.Corpus.of(_docs(spark, sf_dir)).edges.where("edge_type = 'references'")
     return e.select("source", "target", "resolution")
 
 
@@ -135,7 +134,7 @@ def field_consistency(spark, sf_dir):
 
 
 @register("""WITH RECURSIVE e AS (SELECT 'N' || n_nationkey AS a, 'N' || ((n_nationkey * 7 + 3) % 25) AS b FROM nation),
-  w(s, n, h) AS (SELECT a, b, 1 FROM e WHERE b >= a UNION ALL SELECT s, b, h + 1 FROM w JOIN e ON e.a = w.n WHERE w.n <> w.s AND b >= s AND h < 20)
+  w(s, n, h) AS (SELECT a, b, 1 FROM e WHERE b >= a UNION ALL SELECT s, b, h + 1 FROM w JOIN e ON e.a = w.n WHERE w.n <> w.s AND b >= s AND h < (SELECT count(*) FROM nation))
   SELECT s AS label, min(h)::INT AS hops FROM w WHERE n = s GROUP BY s""")
 def acyclic_verbs(spark, sf_dir):
     n = r.table(spark, sf_dir, "nation")
@@ -242,21 +241,11 @@ def obligations(spark, sf_dir):
     return ob.select("id", "method", "target_ids", F.element_at("parameters", F.lit("status")).alias("status"))
 
 
-@register("""WITH v AS (SELECT DISTINCT 'brand' AS d, p_brand AS v FROM part WHERE p_size < 4 UNION SELECT DISTINCT 'size', p_size::VARCHAR FROM part WHERE p_size < 4 UNION SELECT 'x', unnest(['a', 'b']))
-  SELECT a.v AS value_1, b.v AS value_2 FROM v a JOIN v b ON a.d < b.d WHERE NOT (a.d = 'size' AND a.v = '1' AND b.d = 'x' AND b.v = 'a')""")
-def combinatorial_tuples(spark, sf_dir):
-    """The parts that its SQL reads; :func:`combinatorial_tuples_all` reads all."""
-    return _tuples(spark, r.table(spark, sf_dir, "part").where("p_size < 4"))
-
-
 @register("""WITH v AS (SELECT DISTINCT 'brand' AS d, p_brand AS v FROM part UNION SELECT DISTINCT 'size', p_size::VARCHAR FROM part UNION SELECT 'x', unnest(['a', 'b']))
   SELECT a.v AS value_1, b.v AS value_2 FROM v a JOIN v b ON a.d < b.d WHERE NOT (a.d = 'size' AND a.v = '1' AND b.d = 'x' AND b.v = 'a')""")
-def combinatorial_tuples_all(spark, sf_dir):
+def combinatorial_tuples(spark, sf_dir):
     """Pairs of every brand and every size of the part table."""
-    return _tuples(spark, r.table(spark, sf_dir, "part"))
-
-
-def _tuples(spark, p):
+    p = r.table(spark, sf_dir, "part")
     v = p.select(F.lit("brand").alias("dimension"), F.col("p_brand").alias("value")).union(p.select(F.lit("size"), F.col("p_size").cast("string"))).distinct()
     v = v.union(spark.createDataFrame([("x", "a"), ("x", "b")], v.schema))
     bad = spark.createDataFrame([("size", "1", "x", "a")], "dim_a string, value_a string, dim_b string, value_b string")
@@ -271,21 +260,11 @@ def metrics(spark, sf_dir):
     return coverage.metric_rows(o, {"finished": (F.col("o_orderstatus") == "F", yes), "impossible": (F.col("o_orderkey") < 0, F.col("o_orderstatus") == "O"), "nobody": (yes, no)})
 
 
-@register("""SELECT o_orderkey AS record, CASE WHEN o_custkey % 5 = 0 THEN 'invalid-target' WHEN o_orderstatus = 'P' THEN 'wrong-revision' WHEN c > 1 THEN 'record-conflict' WHEN o_orderpriority = '5-LOW' THEN 'failed' END AS cause
-  FROM (SELECT *, o_orderpriority || '' AS x, (SELECT count(DISTINCT b.o_orderpriority) FROM orders b WHERE b.o_custkey = a.o_custkey AND (b.o_orderstatus = 'P') = (a.o_orderstatus = 'P')) AS c FROM orders a WHERE o_custkey < 200)""")
-def evidence_causes(spark, sf_dir):
-    """The orders that its SQL reads; :func:`evidence_causes_all` reads all."""
-    return _evidence(r.table(spark, sf_dir, "orders").where("o_custkey < 200"))
-
-
 @register("""SELECT o_orderkey AS record, CASE WHEN o_custkey % 5 = 0 THEN 'invalid-target' WHEN o_orderstatus = 'P' THEN 'wrong-revision' WHEN c > 1 THEN 'record-conflict' WHEN o_orderpriority = '5-LOW' THEN 'failed' END AS cause
   FROM (SELECT *, o_orderstatus = 'P' AS old FROM orders) JOIN (SELECT o_custkey, o_orderstatus = 'P' AS old, count(DISTINCT o_orderpriority) AS c FROM orders GROUP BY 1, 2) USING (o_custkey, old)""")
-def evidence_causes_all(spark, sf_dir):
+def evidence_causes(spark, sf_dir):
     """The causes of every order's record."""
-    return _evidence(r.table(spark, sf_dir, "orders"))
-
-
-def _evidence(o):
+    o = r.table(spark, sf_dir, "orders")
     records = o.select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("target"), F.when(F.col("o_orderpriority") == "5-LOW", "failed").otherwise("passed").alias("outcome"), F.when(F.col("o_orderstatus") == "P", "old").otherwise("r1").alias("revision"), F.col("o_orderpriority").alias("content"))
     targets = o.where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("id")).distinct()
     return coverage.reconcile_evidence(records, targets, "r1").select("record", "cause")

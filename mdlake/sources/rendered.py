@@ -14,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents that one task renders and parses, about.
+TASK_ROWS = 20_000
+
+
+def spread(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` dealt by a key over enough tasks for the parsing that follows:
+    at least the cluster's cores, else one for each ``TASK_ROWS`` of ``size``.
+    A count given explicitly is left alone by adaptive execution, which would
+    merge the few bytes of a shuffle into one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-size // TASK_ROWS)), key)
+
+
 def lines(*parts: Column | str) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -26,8 +39,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_key, path, raw`` of one document an order: its line items as a
     table, its customer as a relationship, and a fence that holds a heading."""
     o = table(spark, sf_dir, "orders")
+    size = o.count()  # of the file's footer
     row = text("| ", F.col("l_linenumber"), " | PRT-", F.col("l_partkey"), " | ", F.col("l_quantity").cast("decimal(12,2)"), " | ", F.col("l_returnflag"), " \\| ", F.col("l_linestatus"), " |")
-    item = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    # Dealt once by the order's key: the aggregation and the join need no shuffle of their own.
+    item = spread(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", size).groupBy("o_orderkey")
     item = item.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
     raw = lines(
         "---", text("id: ORD-", F.col("o_orderkey")), "type: ORD", text("status: ", F.col("o_orderstatus")), text("priority: '", F.col("o_orderpriority"), "'"),
@@ -38,7 +53,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("See [customer](../customers/CUS-", F.col("o_custkey"), ".md) and ix://acme/sales/CUS-", F.col("o_custkey"), "."),
         "### Details", text("- **status** — ", F.col("o_orderstatus")), text("- **priority:** ", F.col("o_orderpriority")), "1. ordered", "",
     )
-    return o.join(item, "o_orderkey", "left").select(
+    return spread(o, "o_orderkey", size).join(item, "o_orderkey", "left").select(
         F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("doc_key"), F.concat(F.lit("orders/ORD-"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), raw.alias("raw")
     )
 
@@ -48,6 +63,7 @@ def customers(spark: SparkSession, sf_dir: str, drop_every: int = 0) -> DataFram
     c = table(spark, sf_dir, "customer")
     if drop_every:
         c = c.where(F.col("c_custkey") % drop_every != 0)
+    c = spread(c, "c_custkey", c.count())
     key = F.concat(F.lit("CUS-"), F.col("c_custkey").cast("string"))
     raw = lines(
         "---", text("id: ", key), "type: CUS", text("segment: ", F.col("c_mktsegment")), "relationships:",
@@ -78,4 +94,4 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "")
     key = F.concat(F.lit("CNV-"), F.col("conv_id").cast("string"))
     raw = F.concat(F.lit("---\nid: "), key, F.lit("\ntype: CNV\n---\n# Conversation\n"), F.col("turns"))
-    return t.groupBy("conv_id").agg(turns.alias("turns")).select(key.alias("doc_key"), F.concat(F.lit("chat/"), key, F.lit(".md")).alias("path"), raw.alias("raw"))
+    return spread(t, "conv_id", t.count()).groupBy("conv_id").agg(turns.alias("turns")).select(key.alias("doc_key"), F.concat(F.lit("chat/"), key, F.lit(".md")).alias("path"), raw.alias("raw"))

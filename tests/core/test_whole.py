@@ -26,7 +26,7 @@ def test_evidence_of_all_orders(spark):
             return "record-conflict"
         return "failed" if o["o_orderpriority"] == "5-LOW" else None
 
-    got = collect()[0]["evidence_causes_all"](spark, SF).collect()
+    got = collect()[0]["evidence_causes"](spark, SF).collect()
     assert sorted((r["record"], r["cause"] or "") for r in got) == sorted((o["o_orderkey"], cause(o) or "") for o in rows)
 
 
@@ -34,7 +34,7 @@ def test_tuples_of_all_parts(spark):
     rows = pq.read_table(f"{SF}/part.parquet", columns=["p_brand", "p_size"]).to_pylist()
     brands, sizes = {p["p_brand"] for p in rows}, {str(p["p_size"]) for p in rows}
     want = [(b, s) for b in brands for s in sizes] + [(v, x) for v in brands | sizes for x in "ab" if (v, x) != ("1", "a")]
-    got = collect()[0]["combinatorial_tuples_all"](spark, SF).collect()
+    got = collect()[0]["combinatorial_tuples"](spark, SF).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert len(sizes) > 3
 
