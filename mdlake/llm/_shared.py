@@ -1,26 +1,28 @@
-"""Tables in the folder that the driver and all executors share.
-
-Lineage is cut by writing a table there, never by ``localCheckpoint``: a
-written table survives the loss of any executor.
-"""
+"""What several operators share: tables in the shared folder, bounded Arrow
+batches, groups of a sorted stream, and joins whose hot keys are salted."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from mdlake.shared import drop_path, drop_written, scratch_path, shared_dir, written
+
+__all__ = ["bounded_batches", "drop_path", "drop_written", "groups", "salted_join", "scratch_path", "shared_dir", "written"]
 
 #: Rows of an Arrow batch for Python functions over whole texts: memory of a
 #: worker, and of Arrow in the JVM, grows with it.
 BATCH_ROWS = 1000
-
-_made: dict[str, SparkSession] = {}
+#: Parts that :func:`salted_join` deals each key to.
+SALTS = 16
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches are bounded to ``BATCH_ROWS``."""
+    """``df``, after the Arrow batches of its whole session are bounded to ``BATCH_ROWS``."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
@@ -28,57 +30,34 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: ``spark.checkpoint.dir`` of the session.
-
-    Only where the cluster names none (local tests) a temporary folder is
-    set, once a session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mdlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/mdlake-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made[path] = spark
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written`."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        known = [p for p in _made if p.split("mdlake-")[-1] in path]
-        for p in known:
-            _delete(spark, p)
-            _made.pop(p, None)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _clean() -> None:
-    for path, spark in list(_made.items()):
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session may be gone at exit; files stay for the cluster's own cleaning
-            pass
-    _made.clear()
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of a stream that is sorted by its first ``keys`` columns, one
+    after the other: only one is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        begins = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(begins, begins[1:], strict=False):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def salted_join(rows: DataFrame, labels: DataFrame, key: str, spread: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``labels``, which has one row a ``key``: a hot key's
+    rows are dealt to ``SALTS`` tasks by the hash of ``spread``, and each label
+    is copied to all of them."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    copies = labels.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", salt).join(copies, [key, "salt"], how).drop("salt")

@@ -32,13 +32,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.llm import _kernel as k
-from mdlake.llm._shared import bounded_batches, drop_written, written
+from mdlake.llm._shared import bounded_batches, drop_written, groups, salted_join, written
+from mdlake.llm.bloom import KEYS, drop_rows, parted, possible
 from mdlake.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -51,8 +51,10 @@ B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose likeliest similarity is below this are dropped before
 #: verification: six standard deviations of the estimate below 0.75.
 MIN_ESTIMATE = 0.5
-#: Partners of a pivot that one task verifies, about.
-PARTNERS = 256
+#: Partners of a pivot in a part, and their shingles in all, about.
+PARTNERS, PART_SHINGLES = 256, 1_000_000
+#: Sketches of a block, on each side.
+SKETCHES = 1024
 
 _rng = np.random.default_rng(71)
 _MULTIPLY = _rng.integers(0, 1 << 31, M, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -187,35 +189,54 @@ def sketches(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     return _rows(bounded_batches(docs), text, row_id).mapInArrow(_sketch_batches, _SKETCH)
 
 
-def _verify(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The partners of a pivot that are similar to it, on full sets."""
-    out = []
-    if len(left):
-        pivot = _set_of(left["pivot_t"].iloc[0])
-        for node, text in zip(right["partner"], right["partner_t"], strict=True):
-            other = _set_of(text)
-            both = len(np.intersect1d(pivot, other, assume_unique=True))
-            if 100 * both >= PERCENT * (len(pivot) + len(other) - both):
-                out.append(node)
-    return pd.DataFrame({"a": [key[0]] * len(out), "b": out})
+def _set_of(data: np.ndarray) -> np.ndarray:
+    return shingle_sets(data, np.array([0, len(data)]))[0]
 
 
-def _set_of(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-    return shingle_sets(data, np.array([0, len(data)]))[0]
+def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle sets of texts, one after the other."""
+    for _, data, offsets in k.chunks(texts):
+        shingles, at = shingle_sets(data, offsets)
+        for i in range(len(at) - 1):
+            yield shingles[at[i] : at[i + 1]]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of representatives whose full sets are similar.
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partners of each pivot that are similar to it, on full sets. Rows come
+    sorted by pivot and part, the pivot's own text first: one set is held."""
+    pivot = None
+    for batch in batches:
+        a, first, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        out = []
+        for i, own in enumerate(_sets(batch.column(3))):
+            if first[i]:
+                pivot = own.copy()
+            elif _similar(pivot, own):
+                out.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array(a[out], pa.int64()), pa.array(node[out], pa.int64())], names=["a", "b"])
+        k.release()
 
-    Texts of partners go to their pivot; a pivot with many partners is dealt
-    to several tasks, its text copied to each.
-    """
-    pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.ceil(F.col("n_a") / PARTNERS)).cast("int"))
-    partner = pairs.join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "salt", F.col("b").alias("partner"), F.col("t").alias("partner_t"))
-    pivot = pairs.select(F.col("a").alias("pivot"), F.col("salt").alias("part")).distinct()
-    pivot = pivot.join(texts.select(F.col("node").alias("pivot"), F.col("t").alias("pivot_t")), "pivot")
-    return pivot.groupBy("pivot", "part").cogroup(partner.groupBy("a", "salt")).applyInPandas(_verify, "a long, b long")
+
+def _verified(texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of representatives whose full sets are similar. Each
+    text goes to the parts of the pivots that it is a partner of, and as a
+    pivot to each of its own parts."""
+    own = F.when(F.col("parts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.col("node").alias("a"), i.alias("part"))))
+    none = F.array().cast("array<struct<a:bigint,part:int>>")
+    both = F.concat(
+        F.transform(F.coalesce(own, none), lambda g: F.struct(g["a"].alias("a"), g["part"].alias("part"), F.lit(True).alias("first"))),
+        F.transform(F.coalesce("partner_of", none), lambda g: F.struct(g["a"].alias("a"), g["part"].alias("part"), F.lit(False).alias("first"))),
+    )
+    dealt = texts.select("node", "t", F.explode(both).alias("g")).select("g.a", "g.part", "g.first", "node", "t")
+    dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("first"))
+    return dealt.select("a", "first", "node", "t").mapInArrow(_verify_batches, "a long, b long")
 
 
 def _estimated(pairs: DataFrame) -> DataFrame:
@@ -235,54 +256,135 @@ def links(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> tuple[
     """``(rows, roots)``: ``id, text_hash, n_shingles, node`` of each row, and
     ``node, root`` of the nodes that are linked with others."""
     rows = written(sketches(docs, text, row_id), "sketches")
-    sets = written(rows.where("n_shingles > 0").dropDuplicates(["node"]), "sets")
-
-    # Buckets of two or more sets.
-    members = sets.select("node", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(crowded, "bucket"), "buckets")
-    weight = members.groupBy("node").agg(F.sum("n").alias("w"))
-    members = written(members.join(weight, "node").select("bucket", "node", "w"), "members")
-    pivots = members.groupBy("bucket").agg(F.max_by("node", F.struct("w", "node")).alias("a"))
+    full = rows.where("n_shingles > 0")
+
+    # Buckets of two or more nodes: the least and the largest differ. All others go before a second shuffle.
+    members = full.select("node", F.explode("bands").alias("bucket"))
+    crowded = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    crowded = written(crowded, "crowded")
+    members = possible(members, F.col("bucket"), crowded, "bucket").distinct()
+    members = written(members.join(crowded, "bucket", "left_semi"), "members")
+    drop_written(crowded)
+
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("w"))
+    pivots = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("w", "node")).alias("a"))
     pairs = members.join(pivots, "bucket").where("a != node").select("a", F.col("node").alias("b")).distinct()
     pairs = written(pairs, "pairs")
 
-    reps = sets.join(members.select("node").distinct(), "node", "left_semi")
-    reps = written(reps.select("node", "n_shingles", "sketch", "id", "text_hash"), "reps")
-    drop_written(sets)
-    source, rep = _rows(docs, text, row_id), reps.select("node", "id", "text_hash")
-    same = source["id"].eqNullSafe(rep["id"]) & (source["text_hash"] == rep["text_hash"])
-    texts = written(source.join(rep, same).select("node", "t"), "texts")
-
-    found = _round(pairs, reps, texts)
-    roots = components(found)
-    return rows, components(found.union(written(_leftovers(pairs, roots, texts), "leftovers")))
-
-
-def _leftovers(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    nodes = written(members.select("node").distinct(), "nodes")
+    reps = possible(full.select("node", "n_shingles", "sketch", "id", "text_hash"), F.col("node"), nodes, "node")
+    reps = written(reps.dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "reps")
+    drop_written(members, nodes)
+    likely = written(_likely(pairs, reps), "likely")
+    texts = _texts(docs, reps, likely, text, row_id)
+    found = written(_verified(texts), "links")
+    drop_written(likely)
+    roots = written(components(found), "roots")
+    drop_written(found)
+    more = written(_leftovers(pairs, roots, reps, texts), "leftovers")
+    drop_written(pairs, reps, texts)
+    if more.limit(1).count():
+        star = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(components(star.union(more)), "roots")
+    drop_written(more)
+    return rows, roots
+
+
+def _row_hash(row_id: Column, text_hash: Column) -> Column:
+    """One key of an identifier and the hash of its text."""
+    return F.xxhash64(row_id.cast("string"), text_hash)
+
+
+def _texts(docs: DataFrame, reps: DataFrame, likely: DataFrame, text: str, row_id: str) -> DataFrame:
+    """``node, t, partner_of, parts`` of representatives: their texts, the parts
+    of pivots to verify them with, and the number of parts of their own.
+
+    The partners of a pivot are dealt to parts of about ``PARTNERS`` texts and
+    ``PART_SHINGLES`` shingles; a node has as many pivots as bands at most. Of
+    the rows, only those that a Bloom filter passes are shuffled, once.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / PARTNERS, F.sum("size_b") / PART_SHINGLES)).cast("int")
+    own = likely.groupBy("a").agg(parts.alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    partner = likely.join(own, "a").groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", part.alias("part"))).alias("partner_of"))
+    wanted = reps.select("node", _row_hash(F.col("id"), F.col("text_hash")).alias("row_hash"), "text_hash")
+    wanted = written(wanted.join(partner, "node", "left").join(own.withColumnRenamed("a", "node"), "node", "left"), "wanted")
+    source = _rows(docs, text, row_id).select(_row_hash(F.col("id"), F.col("text_hash")).alias("row_hash"), "text_hash", "t")
+    # Rows that repeat both identifier and text are one text.
+    source = possible(source, F.col("row_hash"), wanted, "row_hash").dropDuplicates(["row_hash", "text_hash"])
+    out = written(source.join(wanted, ["row_hash", "text_hash"]).select("node", "t", "partner_of", "parts"), "texts")
+    drop_written(wanted)
+    return out
+
+
+def _leftovers(pairs: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``a, b`` among the partners of a pivot that it did not join.
 
     Two nodes of a bucket are partners of its pivot, or one is the pivot and
     the pair is verified. So for each pivot, its partners outside the group's
     largest component, the stragglers, are compared with all its partners of
-    another component: on full sets, in blocks of about ``PARTNERS`` by as
-    many, of which a task returns no more links than join its nodes.
+    another component: first by their sketches, which leaves the nodes that may
+    have a link, then these on full sets. Both go in blocks; a task of the first
+    returns nodes, and of the second no more links than join its nodes.
     """
     group = pairs.select(F.col("a").alias("p"), F.col("b").alias("node")).join(roots, "node", "left")
-    group = group.select("p", "node", F.coalesce("root", "node").alias("root"))
+    group = written(group.select("p", "node", F.coalesce("root", "node").alias("root")), "groups")
+    sketch = reps.select("node", "n_shingles", "sketch")
+    blocks = _blocks(group, SKETCHES).join(sketch, "node").repartition("p", "l", "r").sortWithinPartitions("p", "l", "r")
+    alive = blocks.select("p", "l", "r", "node", "root", "left", "n_shingles", "sketch").mapInArrow(_alive_batches, "p long, node long")
+    alive = written(alive.distinct(), "alive")
+    blocks = _blocks(group.join(alive, ["p", "node"], "left_semi"), PARTNERS)
+    texts = possible(texts.select("node", "t"), F.col("node"), alive, "node")
+    blocks = blocks.join(texts, "node").repartition("p", "l", "r").sortWithinPartitions("p", "l", "r")
+    out = written(blocks.select("p", "l", "r", "node", "root", "left", "t").mapInArrow(_link_batches, "a long, b long"), "found")
+    drop_written(group, alive)
+    return out
+
+
+def _blocks(group: DataFrame, size: int) -> DataFrame:
+    """``p, l, r, node, root, left``: the stragglers of each pivot's group (left)
+    against all of it, in blocks of about ``size`` by ``size``. A node is in as
+    many blocks as the other side has parts."""
     shares = group.groupBy("p", "root").agg(F.count("*").alias("n"))
     shares = shares.groupBy("p").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     mixed = shares.where("all > most").select(
-        "p", "main", F.ceil((F.col("all") - F.col("most")) / PARTNERS).cast("int").alias("lefts"), F.ceil(F.col("all") / PARTNERS).cast("int").alias("rights")
+        "p", "main", F.ceil((F.col("all") - F.col("most")) / size).cast("int").alias("lefts"), F.ceil(F.col("all") / size).cast("int").alias("rights")
     )
-    group = written(group.join(mixed, "p"), "mixed")
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    rows = salted_join(group, mixed, "p", "node", "inner")  # a pivot may have a third of all rows
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = group.where("root != main").select("p", "node", "root", block("node", "lefts").alias("l"), every("rights").alias("r"))
-    right = group.select("p", "node", "root", every("lefts").alias("l"), block("node", "rights").alias("r"))
-    left = left.join(texts, "node").toDF("node", "p", "root", "l", "r", "t")
-    right = right.join(texts, "node").toDF("node_2", "p_2", "root_2", "l_2", "r_2", "t_2")
-    return left.groupBy("p", "l", "r").cogroup(right.groupBy("p_2", "l_2", "r_2")).applyInPandas(_block_links, "a long, b long")
+    left = rows.where("root != main").select("p", block("lefts").alias("l"), every("rights").alias("r"), "node", "root", F.lit(True).alias("left"))
+    return left.union(rows.select("p", every("lefts"), block("rights"), "node", "root", F.lit(False)))
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the left and the right of a block, and all nodes and roots."""
+    left = table["left"].to_numpy()
+    return np.flatnonzero(left), np.flatnonzero(~left), table["node"].to_numpy(), table["root"].to_numpy()
+
+
+def _alive_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of blocks that may have a link, by the likelihood of their registers."""
+    for table in groups(batches, 3):
+        left, right, node, root = _sides(table)
+        regs = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, M)
+        size = table["n_shingles"].to_numpy().astype(float)
+        alive = np.zeros(len(node), dtype=bool)
+        one, two = [], []
+        for n, i in enumerate(left, 1):
+            small, large = np.minimum(size[i], size[right]), np.maximum(size[i], size[right])
+            some = right[(root[right] != root[i]) & (100 * small >= PERCENT * large)]
+            some = some[(regs[some] == regs[i]).sum(1) * 4 >= M]  # far below what such a similarity leaves equal
+            one.append(np.full(len(some), i))
+            two.append(some)
+            if n == len(left) or sum(map(len, two)) > 1 << 14:  # many pairs at a time
+                a, b = np.concatenate(one), np.concatenate(two)
+                if len(a):
+                    good = similarity(regs[a], regs[b], size[a], size[b]) >= MIN_ESTIMATE
+                    alive[a[good]] = alive[b[good]] = True
+                one, two = [], []
+        yield pa.RecordBatch.from_arrays([table["p"].combine_chunks().filter(pa.array(alive)), pa.array(node[alive])], names=["p", "node"])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -308,39 +410,45 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
-def _block_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between nodes of different components, as few as join them."""
-    out = []
-    if len(left) and len(right):
-        one, two = [_set_of(t) for t in left["t"]], [_set_of(t) for t in right["t_2"]]
-        both = intersections(one, two)
-        union = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None] - both
-        linked = (100 * both >= PERCENT * union) & (left["root"].to_numpy()[:, None] != right["root_2"].to_numpy()[None])
-        top: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while top.setdefault(x, x) != x:
-                top[x] = x = top[top[x]]
-            return x
-
-        for i, j in np.argwhere(linked):
-            x, y = find(int(left["root"].iat[i])), find(int(right["root_2"].iat[j]))
-            if x != y:
-                top[x] = y
-                out.append((int(left["node"].iat[i]), int(right["node_2"].iat[j])))
-        del one, two, both, union, linked
+    for table in groups(batches, 3):
+        out = _block_links(table)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
     k.release()
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _round(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _block_links(table: pa.Table) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    left, right, node, root = _sides(table)
+    if not len(left) or not len(right):
+        return out
+    sets = list(_sets(table["t"]))
+    one, two = [sets[i] for i in left], [sets[i] for i in right]
+    both = intersections(one, two)
+    union = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None] - both
+    linked = (100 * both >= PERCENT * union) & (root[left][:, None] != root[right][None])
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for i, j in np.argwhere(linked):
+        x, y = find(int(root[left[i]])), find(int(root[right[j]]))
+        if x != y:
+            top[x] = y
+            out.append((int(node[left[i]]), int(node[right[j]])))
+    return out
+
+
+def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``a, b, size_b`` of the pairs that may reach the threshold."""
     one = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("size_a"))
     two = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("size_b"))
     fits = (100 * F.least("size_a", "size_b")) >= (PERCENT * F.greatest("size_a", "size_b"))
-    likely = _estimated(pairs.join(two, "b").join(one, "a").where(fits)).select("a", "b")
-    likely = written(likely, "likely")
-    partners = likely.groupBy("a").agg(F.count("*").alias("n_a"))
-    return written(_verified(likely.join(partners, "a"), texts), "links")
+    return _estimated(pairs.join(two, "b").join(one, "a").where(fits)).select("a", "b", "size_b")
 
 
 def judge(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -353,17 +461,28 @@ def judge(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFr
 
 
 def _judged(docs: DataFrame, text: str, row_id: str) -> DataFrame:
+    """``id, text_hash, root, n_shingles, component_id, kept``; the root is null
+    for a text without words.
+
+    Identifiers are reduced by node, so that copies are one row, then by
+    component; labels go back to nodes and to rows by salted joins, as one
+    component or one text may hold a third of all.
+    """
     kind = docs.schema[row_id].dataType
     rows, roots = links(docs, text, row_id)
     # Identifiers compare as their own type, not as strings.
-    label = (
-        rows.join(roots, "node", "left")
-        .select(F.col("id").cast(kind).alias("id"), "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
-    )
-    smallest = label.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
-    out = label.join(smallest, "root", "left").select(
-        "id", "text_hash", "root", "n_shingles", F.coalesce("component", "id").alias("component_id")
-    )
+    rows = rows.select(F.col("id").cast(kind).alias("id"), "text_hash", "n_shingles", "node")
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    nodes = written(nodes.join(roots, "node", "left"), "nodes")
+    linked = nodes.where("root IS NOT NULL")
+    components_ = linked.groupBy("root").agg(F.min("least").alias("component"))
+    labels = salted_join(linked.select("node", "root"), components_, "root", "node", "inner").select("node", "root", "component")
+    alone = nodes.where("root IS NULL AND n > 1").select("node", F.col("node").alias("root"), F.col("least").alias("component"))
+    labels = written(labels.unionByName(alone), "labels")
+    out = salted_join(rows.withColumn("row_hash", F.xxhash64("id", "text_hash")), labels, "node", "row_hash").select(
+        "id", "text_hash", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"), "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
+    )
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
@@ -374,22 +493,31 @@ def keep_first(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> D
     It is the one of the smallest identifier. Among rows that share it, or of a
     component whose identifiers are all null, it is the one of the least hash of
     the text; among rows equal in both, the one of the least columns as JSON.
+
+    Only rows that a Bloom filter of those to go passes are shuffled.
     """
-    judged = written(_judged(docs, text, row_id), "judged")
+    lazy = _judged(docs, text, row_id)
+    judged = written(lazy, "judged")
+    drop_written(lazy)  # sketches and labels
     held = judged.where(F.col("kept") & F.col("root").isNotNull()).groupBy("root", "id", "text_hash").agg(F.count("*").alias("rows"))
-    least = held.groupBy("root").agg(F.count("*").alias("kinds"), F.min("text_hash").alias("least"))
-    held = written(held.join(least, "root").where("kinds > 1 OR rows > 1"), "held")
-    names = [F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
-    gone = judged.where(~F.col("kept")).select(*names).union(held.where("text_hash != least").select(*names))
-    gone = written(gone.distinct(), "gone")
-
-    def same(keys: DataFrame) -> Column:
-        return docs[row_id].eqNullSafe(keys["gone_id"]) & (F.xxhash64(docs[text]) == keys["gone_hash"])
-
-    out = docs.join(gone, same(gone), "left_anti")
-    again = held.where("text_hash = least AND rows > 1").select(*names)
-    if not again.limit(1).count():
+    # Few components have several rows of the least identifier.
+    least = held.groupBy("root").agg(F.count("*").alias("kinds"), F.max("rows").alias("most"), F.min("text_hash").alias("least"))
+    held = written(held.join(least.where("kinds > 1 OR most > 1"), "root"), "held")
+    keyed = [_row_hash(F.col("id"), F.col("text_hash")).alias(KEYS[0]), F.col("text_hash").alias(KEYS[1])]
+    again = held.where("text_hash = least AND rows > 1").select(*keyed, F.lit(True).alias("repeated"))
+    gone = judged.where(~F.col("kept")).select(*keyed).union(held.where("text_hash != least").select(*keyed))
+    gone = written(gone.distinct().withColumn("repeated", F.lit(False)).unionByName(again), "gone")
+    drop_written(judged, held)
+
+    def keys(at) -> tuple[Column, Column]:
+        return _row_hash(at(row_id), F.xxhash64(at(text))), F.xxhash64(at(text))
+
+    out = drop_rows(docs, gone, keys)
+    repeated = gone.where("repeated")
+    if not repeated.limit(1).count():
         return out
-    every = F.struct(*[docs[c] for c in docs.columns])
-    one = docs.join(again, same(again), "left_semi").groupBy(docs[row_id], F.xxhash64(docs[text])).agg(F.min_by(every, F.to_json(every)).alias("row"))
-    return out.join(again, same(again), "left_anti").unionByName(one.select("row.*"))
+    # Rows that repeat both identifier and text, and are the ones to keep: one of each.
+    _, hits, names = parted(docs, repeated, keys)
+    every = F.struct(*names)
+    one = hits.join(repeated, KEYS, "left_semi").groupBy(*KEYS).agg(F.min_by(every, F.to_json(every)).alias("row"))
+    return out.unionByName(one.select("row.*").toDF(*docs.columns))

@@ -13,7 +13,8 @@ positives on to the join, whose results are the same.
 Defined cases: a null URL or one without ``://`` has an empty host and path,
 fits no rule, is not in the list and is allowed; null, empty and repeated list
 entries are ignored; an empty list allows all that the rules leave; repeated
-rows are judged each; other columns are kept.
+rows are judged each; other columns are kept, but for those named as a result
+(``host``, ``path``, ``rule``, ``verdict``), which the results replace.
 """
 
 from __future__ import annotations
@@ -23,14 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mdlake.llm import bloom
 from mdlake.llm._shared import written
 
-#: Blocks of 512 bits, 64 bytes each: 8 MiB at most.
-MAX_BLOCKS = 1 << 17
-#: Listed URLs that share a block at the filter's intended load: 16 bits each.
-URLS_PER_BLOCK = 32
-#: Bits that a URL sets, one in each of the block's 64-bit words.
-WORDS = 8
+MAX_BLOCKS, URLS_PER_BLOCK = bloom.MAX_BLOCKS, bloom.KEYS_PER_BLOCK
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that don't tell pages apart.
@@ -91,23 +88,12 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
     return text, verdict
 
 
-def _probe(url: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a canonical URL and its bit in each word of the block."""
-    one, two = F.xxhash64(url), F.xxhash64(url, F.lit(1))
-    block = F.pmod(one, F.lit(blocks)).cast("int")
-    places = [F.shiftrightunsigned(two, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(WORDS)]
-    return block, [F.call_function("shiftleft", F.lit(1).cast("long"), at) for at in places]
+_probe = bloom.probe
 
 
 def filter_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """``block, w0 .. w7``: the filter of a column ``canonical_url``, one row a
-    block that is not empty. Bits are merged before the shuffle."""
-    block, bits = _probe(F.col("canonical_url"), blocks)
-    return (
-        listed.select(block.alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
-        .groupBy("block")
-        .agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-    )
+    """The filter of a column ``canonical_url``."""
+    return bloom.filter_blocks(listed, "canonical_url", blocks)
 
 
 def judge(pages: DataFrame, rules: list[Rule], listed_urls: DataFrame, url: str = "url") -> DataFrame:
@@ -116,8 +102,7 @@ def judge(pages: DataFrame, rules: list[Rule], listed_urls: DataFrame, url: str
     (source,) = listed_urls.columns
     listed = listed_urls.select(canonical(F.col(source)).alias("canonical_url")).where("canonical_url != ''").distinct()
     listed = written(listed, "listed")
-    blocks = max(1, min(MAX_BLOCKS, -(-listed.count() // URLS_PER_BLOCK)))
-    bloom = filter_blocks(listed, blocks)
+    blocks = bloom.blocks_for(listed.count(), MAX_BLOCKS)
 
     names = [f"in_{i}" for i in range(len(pages.columns))]
     u = names[pages.columns.index(url)]
@@ -127,18 +112,15 @@ def judge(pages: DataFrame, rules: list[Rule], listed_urls: DataFrame, url: str
     open_ = F.when(F.col("ruled").isNull(), F.col("canonical_url"))
     block, bits = _probe(open_, blocks)
     # At most MAX_BLOCKS rows of 68 bytes.
-    rows = rows.withColumn("block", F.when(open_.isNotNull(), block)).join(F.broadcast(bloom), "block", "left")
-    passes = F.lit(True)
-    for i, bit in enumerate(bits):
-        passes = passes & (F.col(f"w{i}").bitwiseAND(bit) == bit)
+    rows = rows.withColumn("block", F.when(open_.isNotNull(), block)).join(F.broadcast(filter_blocks(listed, blocks)), "block", "left")
     # Only possible hits have a key to join on. Distinct ones are looked up, so a page that many rows name is one.
-    rows = rows.withColumn("hit_key", F.when(F.coalesce(passes, F.lit(False)), open_))
+    rows = rows.withColumn("hit_key", F.when(bloom.passes(bits), open_))
     hits = listed.select(F.col("canonical_url").alias("hit_key"), F.lit(True).alias("hit"))
     possible = rows.where("hit_key IS NOT NULL").join(hits, "hit_key", "left")
     rest = rows.where("hit_key IS NULL").withColumn("hit", F.lit(None).cast("boolean"))
     out = possible.select(*rest.columns).unionByName(rest)
     return out.select(
-        *[F.col(n).alias(c) for n, c in zip(names, pages.columns, strict=True)],
+        *[F.col(n).alias(c) for n, c in zip(names, pages.columns, strict=True) if c not in ("host", "path", "rule", "verdict")],
         "host",
         "path",
         "rule",

@@ -68,3 +68,11 @@ def test_empty(spark):
     assert urlfilter.judge(spark.createDataFrame([("http://a.b/c",)], "url string"), RULES, pages).collect()[0]["verdict"] == "allow"
     with pytest.raises(ValueError, match="not a rule"):
         urlfilter.parse_rules(["deny x/"])
+
+
+def test_columns_named_as_results_and_long_urls(spark):
+    long = "http://h.net/" + "a/" * 200_000
+    pages = spark.createDataFrame([(long, "x", "y", 1), ("http://b.org/es/", "x", "y", 1)], "url string, host string, verdict string, block long")
+    out = urlfilter.judge(pages, RULES, spark.createDataFrame([(long + "?utm_a=1",)], "u string"))
+    assert out.columns == ["url", "block", "host", "path", "rule", "verdict"]
+    assert [(r["host"], r["verdict"]) for r in out.orderBy("host").collect()] == [("b.org", "allow"), ("h.net", "block")]
