@@ -29,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from mdlake.llm import _kernel as k
 from mdlake.llm._shared import bounded_batches, written
+from mdlake.llm.bloom import KEYS, drop_rows
 
-#: Labelled rows of each language that a model is fitted on, about: those with the least hashes.
+#: Labelled rows of each language that a model is fitted on: those with the least hashes.
 SAMPLE_ROWS = 400
 #: Buckets that hashed n-grams of one to three bytes fall in.
 BUCKETS = 1 << 15
@@ -125,16 +127,18 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit a model on a bounded sample of labelled rows: of each language
-    about ``rows``, chosen by the hash of the text."""
+    """Fit a model on a bounded sample of labelled rows: of each language the
+    ``rows`` texts with the least hashes, copies counted once."""
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
+    labelled = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("t", F.lit(7)), 1))
     sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
-    for language, n in sizes.items():
-        least = int(min(1.0, rows / n) * (1 << 20))
-        chosen = chosen | ((F.col("l") == language) & (F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 20)) <= least))
-    # Copies share a hash and count once, and the limit holds the bound in any case.
-    sample = labelled.where(chosen).dropDuplicates(["t", "l"]).limit(2 * rows * max(1, len(sizes))).collect()
+    for language, n in sizes.items():  # twice as many as wanted, so that few are sorted
+        least = min((1 << 63) - 1, int(2 * rows / n * (1 << 63)))
+        chosen = chosen | ((F.col("l") == language) & (F.col("h") <= least))
+    few = labelled.where(chosen).dropDuplicates(["t", "l"])
+    place = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
+    sample = few.withColumn("place", place).where(F.col("place") <= rows).orderBy("l", "place").collect()
     return fit([r["t"] for r in sample], [r["l"] for r in sample])
 
 
@@ -294,6 +298,10 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", host: str
         F.col(host).alias("domain"),
         F.coalesce(none, F.lit("")).alias("suffix"),
     )
-    gone = written(fuse(rows, model).where("rejected").select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
-    same = F.col(f"`{row_id}`").cast("string").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text]) == gone["gone_hash"])
-    return docs.join(gone, same, "left_anti")
+    row_hash = F.xxhash64("id", "text_hash")
+    gone = written(fuse(rows, model).where("rejected").select(row_hash.alias(KEYS[0]), F.col("text_hash").alias(KEYS[1])).distinct(), "gone")
+
+    def keys(at) -> tuple[Column, Column]:
+        return F.xxhash64(at(row_id).cast("string"), F.xxhash64(at(text))), F.xxhash64(at(text))
+
+    return drop_rows(docs, gone, keys)
