@@ -3,9 +3,11 @@
 Fingerprints of a text are the minimum K-gram hashes of all windows of W
 successive K-grams. With K + W - 1 = 13, any span of 13 words that a document
 shares with a benchmark item has a fingerprint of both inside it, so the join
-of fingerprints misses no shared window. Each hit is extended: the 13-word
-windows of the document around it are joined with the windows of the items by
-their whole words, and the words in matching windows are hit.
+of fingerprints misses no shared window. A fingerprint holds the low 44 bits of
+the hash and, for documents, its place, so that a hit says where it is. Each
+hit is extended: the 13-word windows of the document around it are joined with
+the windows of the items by their whole words, and the words in matching
+windows are hit.
 
 Native: DataFrame and higher-order SQL functions only. The sliding hashes and
 minima are built by doubling: arrays are zipped with shifted copies of
@@ -23,11 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.llm._shared import written
+from mdlake.llm.bloom import KEYS, drop_rows
 
 #: Words in a window.
 WINDOW = 13
 #: K-grams; a fingerprint is chosen among WINDOW - K + 1 of them.
 K = 8
+#: Bits of a fingerprint for its place; all places that agree in them are tried.
+PLACE_BITS = 20
 #: The characters that separate words, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A document is contaminated if one word in so many is hit.
@@ -74,8 +79,15 @@ def gram_hashes(word_list: Column, width: int = K) -> Column:
 
 
 def fingerprints(hashes: Column) -> Column:
-    """The distinct minima of all windows of WINDOW - K + 1 K-gram hashes."""
-    return F.array_distinct(_doubled(hashes, WINDOW - K + 1, lambda a, b: F.least(a, b)))
+    """The distinct minima of all windows of WINDOW - K + 1 K-gram hashes, with
+    their places modulo 2**PLACE_BITS in the low bits."""
+    placed = F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("long")))
+    return F.array_distinct(_doubled(placed, WINDOW - K + 1, lambda a, b: F.least(a, b)))
+
+
+def mark_of(fingerprint: Column) -> Column:
+    """The hash of a fingerprint, which texts are compared by."""
+    return F.shiftright(fingerprint, PLACE_BITS)
 
 
 def _windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -97,16 +109,19 @@ def _runs(word_list: Column, n: int) -> Column:
 
 
 def _candidates(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """``row, marks``: the documents that share fingerprints with the items,
-    and these fingerprints. ``docs`` has ``row`` and ``w``."""
+    """``row, at``: the documents that share fingerprints with the items, and
+    the places of these. ``docs`` has ``row`` and ``w``."""
     marks = (
         items.where(F.col(item_id).isNotNull())
-        .select(F.explode(fingerprints(gram_hashes(words(F.col(item_text))))).alias("mark"))
+        .select(F.explode(fingerprints(gram_hashes(words(F.col(item_text))))).alias("f"))
+        .select(mark_of(F.col("f")).alias("mark"))
         .distinct()
     )
     marks = written(marks, "marks")  # so that its size is known before the join is planned
-    own = docs.select("row", F.explode(fingerprints(gram_hashes(F.col("w")))).alias("mark"))
-    return own.join(marks, "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
+    own = docs.select("row", F.explode(fingerprints(gram_hashes(F.col("w")))).alias("f"))
+    place = F.col("f").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    own = own.select("row", mark_of(F.col("f")).alias("mark"), place.alias("i"))
+    return own.join(marks, "mark").groupBy("row").agg(F.collect_set("i").alias("at"))
 
 
 def hits(
@@ -131,11 +146,11 @@ def hits(
     candidates = written(_candidates(split, items, item_id, item_text), "candidates")
 
     # Whole windows around each shared fingerprint.
-    found = source.join(candidates, "row").select("row", words(F.col("t")).alias("w"), "marks")
-    grams = F.transform(gram_hashes(F.col("w")), lambda h, i: F.when(F.array_contains(F.col("marks"), h), i))
-    at = F.filter(grams, lambda i: i.isNotNull())
+    found = source.join(candidates, "row").select("row", words(F.col("t")).alias("w"), "at")
+    # In a text of more than 2**PLACE_BITS words, each place that a fingerprint may mean.
+    at = F.flatten(F.transform("at", lambda i: F.sequence(i, F.greatest(i, F.size("w") - 1), F.lit(1 << PLACE_BITS))))
     around = F.flatten(
-        F.transform(at, lambda i: F.sequence(F.greatest(i - (WINDOW - K), F.lit(0)), F.least(i, F.size("w") - WINDOW)))
+        F.transform(at, lambda i: F.sequence(F.greatest(i - (WINDOW - K), F.lit(0)), F.greatest(F.lit(0), F.least(i, F.size("w") - WINDOW))))
     )
     places = found.select("row", "w", F.explode(F.array_distinct(around)).alias("i"))
     places = places.select("row", "i", F.lit(WINDOW).alias("window_words"), F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ").alias("window"))
@@ -178,9 +193,9 @@ def judge(
     item_text: str = "text",
 ) -> DataFrame:
     """``docs`` without its text, with ``n_words, n_hit, n_items, item_ids``
-    and ``contaminated``."""
+    and ``contaminated``, which replace columns of these names."""
     found = hits(docs, items, text, row_id, item_id, item_text)
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "n_items", "item_ids", "contaminated")]
     rows = docs.select(
         *[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(others)],
         row_key(row_id, text).alias("row"),
@@ -198,11 +213,15 @@ def judge(
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents that are not contaminated, with all their columns. Only
+    those that a Bloom filter of the contaminated ones passes are shuffled."""
     found = hits(docs, items, text, row_id)
-    source = docs.select(row_key(row_id, text).alias("row"), F.size(words(F.col(text))).alias("n_words"), F.col(text).alias("t"))
-    bad = written(
-        source.join(found, "row").where(F.col("n_hit") * MIN_SHARE >= F.col("n_words")).select("row").distinct(), "contaminated"
-    )
-    row = "row_" + "_".join(docs.columns)
-    return docs.withColumn(row, row_key(row_id, text)).join(bad.withColumnRenamed("row", row), row, "left_anti").drop(row)
+    source = docs.select(row_key(row_id, text).alias("row"), F.size(words(F.col(text))).alias("n_words"))
+    bad = source.join(found, "row").where(F.col("n_hit") * MIN_SHARE >= F.col("n_words")).select("row").distinct()
+    gone = written(bad.select(F.xxhash64("row.id", "row.h").alias(KEYS[0]), F.col("row.h").alias(KEYS[1])), "contaminated")
+
+    def keys(at) -> tuple[Column, Column]:
+        text_hash = F.xxhash64(at(text))
+        return F.xxhash64(F.coalesce(at(row_id).cast("string"), F.lit("")), text_hash), text_hash
+
+    return drop_rows(docs, gone, keys)

@@ -54,3 +54,21 @@ def test_keep_clean(spark):
     items = spark.createDataFrame([(9, "two three")], "item_id long, text string")
     kept = decontam.keep_clean(docs, items)
     assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == ["five", "other"]
+
+
+def test_places_of_long_texts(spark, monkeypatch):
+    """With few bits for a place, each place that a fingerprint may mean is tried."""
+    monkeypatch.setattr(decontam, "PLACE_BITS", 3)
+    rng = random.Random(4)
+    p = [f"w{rng.randrange(90)}" for _ in range(40)]
+    items = [(1, " ".join(p)), (2, " ".join(p[10:24]))]
+    docs = [(i, " ".join([f"x{rng.randrange(400)}" for _ in range(rng.randrange(300))] + p[i : i + 14] + ["y"] * i + p[: 2 * i])) for i in range(16)]
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_columns_named_as_results(spark):
+    d = spark.createDataFrame([(1, "one two three", "a", 7)], "doc_id long, text string, n_words string, block long")
+    b = spark.createDataFrame([(9, "two three")], "item_id long, text string")
+    got = decontam.judge(d, b)
+    assert sorted(got.columns) == sorted(["doc_id", "block", "n_words", "n_hit", "n_items", "item_ids", "contaminated"])
+    assert got.collect()[0]["n_words"] == 3 and decontam.keep_clean(d, b).count() == 0
