@@ -8,8 +8,8 @@ documents.
 
 Defined cases: a null text is a text without words; an empty table gives an
 empty result; a null host is no host, so its documents have only the base
-rules; repeated rows are measured and counted each; columns other than the
-text and the host are kept as they are.
+rules; repeated rows are measured and counted each; other columns are kept,
+but for those named as a result, which the results replace.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.llm import _kernel as k
-from mdlake.llm._shared import bounded_batches, written
+from mdlake.llm._shared import bounded_batches, salted_join, written
+from mdlake.llm.bloom import flagged
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -133,18 +134,23 @@ def host_rates(measured: DataFrame, host: str, failed: str, max_rate: float = MA
     ).withColumn("host_rejected", F.col("shrunk_rate") > max_rate)
 
 
+RESULTS = (*MEASURES, "base_failed", "host_rejected", "kept")
+
+
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``docs`` without its text, with the measures, ``base_failed``,
     ``host_rejected`` and ``kept``. Measures are taken in one pass and
-    written, as both the hosts and the documents need them."""
+    written, as both the hosts and the documents need them. Verdicts go back by
+    a salted join: one host, or none, may have a third of all rows."""
     others = [c for c in docs.columns if c != text]
     narrow = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(others)], measures(F.col(text)).alias("m"))
     host_at = f"in_{others.index(host)}"
     narrow = written(narrow.withColumn("failed", base_failed(F.col("m"))), "quality")
-    bad = host_rates(narrow, host_at, "failed", max_rate).where("host_rejected").select("host", "host_rejected")
-    joined = narrow.join(bad, narrow[host_at] == bad["host"], "left")
+    bad = written(host_rates(narrow, host_at, "failed", max_rate).where("host_rejected").select(F.col("host").alias(host_at), "host_rejected"), "hosts")
+    spread = F.xxhash64(*[f"in_{i}" for i in range(len(others))], "m")
+    joined = salted_join(narrow.withColumn("row_hash", spread), bad, host_at, "row_hash")
     return joined.select(
-        *[F.col(f"in_{i}").alias(c) for i, c in enumerate(others)],
+        *[F.col(f"in_{i}").alias(c) for i, c in enumerate(others) if c not in RESULTS],
         *[F.col(f"m.{m}").alias(m) for m in MEASURES],
         F.col("failed").alias("base_failed"),
         F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"),
@@ -156,10 +162,16 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     """The documents that are kept, with all their columns, text included.
 
     Texts are measured twice rather than written: once for the hosts' rates,
-    once for the documents.
+    once for the documents. Only documents of hosts that a Bloom filter of the
+    rejected ones passes are shuffled.
     """
-    measured = bounded_batches(docs).select(F.col(host).alias("h"), base_failed(measures(F.col(text))).alias("failed"))
+    measured = bounded_batches(docs).select(F.col(host).alias("h"), measures(F.col(text)).alias("m")).select("h", base_failed(F.col("m")).alias("failed"))
     bad = written(host_rates(measured, "h", "failed", max_rate).where("host_rejected").select("host"), "hosts")
-    m = "m_" + "_".join(docs.columns)
-    good = docs.withColumn(m, measures(F.col(text))).where(~base_failed(F.col(m))).drop(m)
-    return good.join(bad, good[host] == bad["host"], "left_anti")
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    own_host, own_text = names[docs.columns.index(host)], names[docs.columns.index(text)]
+    good = docs.toDF(*names).withColumn("m", measures(F.col(own_text))).where(~base_failed(F.col("m"))).drop("m")
+    good = flagged(good, F.col(own_host), bad, "host", "hit")
+    back = lambda rows: rows.select(*names).toDF(*docs.columns)
+    hits = good.where("hit").withColumn("row_hash", F.xxhash64(*names))
+    hits = salted_join(hits, bad.withColumnRenamed("host", own_host), own_host, "row_hash", "left_anti")
+    return back(good.where(~F.col("hit"))).unionByName(back(hits))

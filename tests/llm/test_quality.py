@@ -61,3 +61,13 @@ def test_empty_and_null(spark):
 @pytest.mark.parametrize("n", [1, 5])
 def test_one_host(spark, n):
     assert [r["host_rejected"] for r in quality.judge(rows(spark, {"h": (0, n)})).collect()] == [True] * n
+
+
+def test_columns_named_as_results(spark):
+    docs = rows(spark, {"good": (19, 20), "bad": (0, 40)})
+    clash = docs.selectExpr("*", "'in' AS kept", "7 AS n_words", "1 AS m", "2 AS hit", "3 AS block")
+    got = quality.judge(clash)
+    assert len(set(got.columns)) == len(got.columns) and {"m", "hit", "block"} < set(got.columns)
+    assert sorted((r["doc_id"], r["kept"], r["n_words"]) for r in got.collect()) == sorted((r["doc_id"], r["kept"], r["n_words"]) for r in quality.judge(docs).collect())
+    kept = quality.keep_good(clash)
+    assert kept.columns == clash.columns and {(r["n_words"], r["kept"]) for r in kept.collect()} == {(7, "in")} and kept.count() == 19
