@@ -23,6 +23,24 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Code points that the library's split doesn't know as letters or
+#: numbers yet, though newer Unicode tables do.
+UNKNOWN = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Capitals that the library's lower-casing knows and an older
+#: ``str.lower`` doesn't, as first and last code point and the distance.
+CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+_LOWER = {"Σ": "σ"} | {chr(c): chr(c + by) for a, b, by in CAPITALS for c in range(a, b + 1)}
+_CAPITAL = regex.compile("[" + "".join(_LOWER) + "]")
 #: Words whose counts a worker remembers; beyond that it starts anew.
 MEMO_WORDS = 1_000_000
 
@@ -45,6 +63,10 @@ class MergeCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
+        unknown = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNKNOWN)
+        known = split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{unknown}]]").replace(r"\p{N}", rf"[\p{{N}}--[{unknown}]]")
+        #: For parts that aren't ASCII: without the letters that are too new.
+        self.split_known = regex.compile(known, regex.V1)
         self.memo: dict[str, int] = {}
 
     @staticmethod
@@ -77,7 +99,10 @@ class MergeCounter:
 
     def _count_plain(self, text: str) -> int:
         # Final sigma apart, str.lower maps each character by itself, as the file's Lowercase does.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            text = _CAPITAL.sub(lambda m: _LOWER[m[0]], text)
+        text = text.lower()
         # No word of the split holds a space, so the parts between spaces count
         # by themselves; most are a single word.
         memo, parts = self.memo, text.split(" ")
@@ -87,7 +112,8 @@ class MergeCounter:
                 memo.clear()
             for i, n in enumerate(counts):
                 if n is None:
-                    counts[i] = sum(map(self._word, self.split.findall(parts[i])))
+                    part = parts[i]
+                    counts[i] = sum(map(self._word, (self.split if part.isascii() else self.split_known).findall(part)))
         return sum(counts)
 
     def _word(self, word: str) -> int:
