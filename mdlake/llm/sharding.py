@@ -3,8 +3,13 @@
 Rows of equal text form one atomic group. Groups are ordered by a 60-bit hash
 of the text, and the ordered groups are cut into contiguous shards so that the
 largest shard is as small as possible: the smallest feasible capacity is found
-by binary search, feasibility is checked greedily, and the cuts are where the
-greedy walk with that capacity stops.
+by binary search, and feasibility is checked greedily. The greedy walk's own
+cuts would fill the first shards to the capacity, and with one very large group
+leave the last ones empty. So a cut is taken nearest to an even share between
+two bounds: not so late that its shard exceeds the capacity, and not so early
+that what follows can't be held by the shards that are left, which the same
+walk from the end says. With these bounds no shard exceeds the capacity, as
+with the greedy cuts, and the largest is as small as can be.
 
 The group sizes stay distributed. The driver holds an outline of them: ranges
 of the order key with their sums, ``2**BITS`` equal ones at first. Each round
@@ -16,8 +21,9 @@ capacity, which then is the exact optimum. A round brings about
 
 Native: DataFrame functions only. Defined cases: null texts form one group of
 size 1 a row, as do empty ones; repeated rows stay together and get a slot
-each; an empty table gives no rows; other columns are kept. Two texts whose
-60-bit hashes collide count as one group.
+each; an empty table gives no rows; other columns are kept, but for those named
+as a result, which the results replace. Two texts whose 60-bit hashes collide
+count as one group.
 """
 
 from __future__ import annotations
@@ -196,7 +202,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, text: str = "text", row_id: st
     placed = narrow.withColumn("shard", shard.cast("int")).withColumn(
         "cell", F.pmod(F.xxhash64(f"in_{at}", "key"), F.lit(cells)).cast("int")
     )
-    # shards x cells rows: a bounded table.
+    # A row for each CELL_ROWS rows: it is joined on what the rows are dealt by anyway.
     before = (
         placed.groupBy("shard", "cell")
         .agg(F.count("*").alias("n"))
@@ -206,9 +212,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, text: str = "text", row_id: st
     number = F.row_number().over(W.partitionBy("shard", "cell").orderBy(f"in_{at}", "key"))
     return (
         placed.withColumn("number", number)
-        .join(F.broadcast(before), ["shard", "cell"])
+        .join(before, ["shard", "cell"])
         .select(
-            *[F.col(f"in_{i}").alias(c) for i, c in enumerate(others)],
+            *[F.col(f"in_{i}").alias(c) for i, c in enumerate(others) if c not in ("size", "text_crc32", "shard", "slot")],
             "size",
             "text_crc32",
             "shard",

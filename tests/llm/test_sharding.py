@@ -3,6 +3,7 @@ from itertools import accumulate
 from zlib import crc32
 
 import pytest
+import xxhash
 
 from mdlake.llm import sharding
 
@@ -60,3 +61,29 @@ def test_rows(spark):
 
 def test_empty(spark):
     assert sharding.shard_rows(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_whole_query_against_brute_force(spark):
+    """Keys by the hash library; order, capacity, groups, laws of slots; columns named as results."""
+    rng = random.Random(8)
+    texts = ["hot " * 30] * 40 + [None, "", ""] + ["w" * rng.randrange(1, 200) + str(i % 90) for i in range(120)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS shard", "'y' AS slot", "'z' AS cell")
+    got = sharding.shard_rows(docs, 5)
+    assert len(set(got.columns)) == len(got.columns) and "cell" in got.columns
+    got = {r["doc_id"]: r for r in got.collect()}
+    key = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) >> 4 if t is not None else 42 >> 4
+    sizes = {}
+    for _, t in rows:
+        sizes[key(t)] = sizes.get(key(t), 0) + len((t or "").encode()) + 1
+    ordered = sorted(sizes)
+    shard = {}
+    for i, t in rows:
+        assert shard.setdefault(key(t), got[i]["shard"]) == got[i]["shard"]
+    assert [shard[k] for k in ordered] == sorted(shard.values())
+    filled = [0] * 5
+    for k in ordered:
+        filled[shard[k]] += sizes[k]
+    assert max(filled) == least_capacity([sizes[k] for k in ordered], 5)
+    for s in set(shard.values()):
+        assert sorted(r["slot"] for r in got.values() if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got.values())))
