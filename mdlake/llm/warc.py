@@ -7,7 +7,8 @@ record and the others ``revisit`` it. Reading an archive gives a run: its
 captures, sorted by URL key and timestamp. Runs are merged externally: they
 are dealt to ranges of the key, and in each range a loser tree merges the
 slices of all runs, so that the ranges together are the capture history of
-all archives in order.
+all archives in order. A shuffle may deliver a run in pieces; each ascending
+stretch counts as a run, so nothing is sorted again.
 
 A file is named by its task attempt and known only by the index rows of the
 attempt that was committed, so lost executors and repeated tasks leave files
@@ -38,10 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdlake.llm._shared import scratch_path, written
+from mdlake.llm._shared import salted_join, scratch_path, written
+from mdlake.llm.bloom import flagged
 
 #: Compressed bytes after which a new archive is begun.
 ARCHIVE_BYTES = 64 << 20
+#: Archives that one task reads, where there are more than cores.
+TASK_ARCHIVES = 16
 #: Captures that one task merges, about.
 RANGE_ROWS = 200_000
 #: Fixed value of the format: the profile of a revisit that names the same payload.
@@ -235,17 +239,17 @@ def loser_tree(runs: list[list]) -> Iterator[tuple[int, int]]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the runs of a range; rows come sorted by run, then by key."""
+    """Merge the runs of a range: the ascending stretches of its rows, of one archive each."""
     batches = list(batches)
     if not batches or not sum(b.num_rows for b in batches):
         return
     table = pa.Table.from_batches(batches)
+    names = table["archive"].to_pylist()
     keys = [
-        (key, when, page or "", offset)
-        for key, when, page, offset in zip(*(table[c].to_pylist() for c in ("url_key", "captured", "page_id", "record_offset")), strict=True)
+        (key, when, page or "", name, offset)
+        for key, when, page, name, offset in zip(*(table[c].to_pylist() for c in ("url_key", "captured", "page_id", "archive", "record_offset")), strict=True)
     ]
-    names = table["archive"].to_pylist()
-    begins = [i for i, n in enumerate(names) if not i or n != names[i - 1]]
+    begins = [i for i, n in enumerate(names) if not i or n != names[i - 1] or keys[i] < keys[i - 1]]
     ends = [*begins[1:], len(names)]
     runs = [keys[a:b] for a, b in zip(begins, ends, strict=True)]
     merged = table.take(pa.array([begins[run] + i for run, i in loser_tree(runs)], pa.int64()))
@@ -266,9 +270,13 @@ def write_archives(pages: DataFrame, captured: Column, page_id: str = "page_id",
         F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary")).alias("digest"),
         (F.coalesce(F.octet_length(payload), F.lit(0)) >= min_bytes).alias("large"),
     )
-    # Minima are partial before the shuffle; the join's hot payloads may be split.
-    first = rows.where("large").groupBy("digest").agg(F.min("id").alias("first"))
-    joined = rows.join(first, "digest", "left")
+    # Only payloads that repeat are joined with their first page, the hot ones salted; the others aren't shuffled.
+    first = rows.where("large").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "repeated")
+    rows = flagged(rows, F.col("digest"), first, "digest", "hit")
+    hits = salted_join(rows.where("hit").withColumn("spread", F.xxhash64("id", "url")), first, "digest", "spread").drop("spread")
+    alone = rows.where(~F.col("hit")).withColumn("first", F.lit(None).cast(pages.schema[page_id].dataType))
+    joined = alone.unionByName(hits)
     revisit = F.coalesce(F.col("large") & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
     ready = joined.select(
         F.col("id").cast("string").alias("id"), "url", F.coalesce("captured", F.lit("1970-01-01T00:00:00Z")).alias("captured"), "html", "digest",
@@ -279,9 +287,15 @@ def write_archives(pages: DataFrame, captured: Column, page_id: str = "page_id",
 
 
 def read_archives(folder: str, index: DataFrame) -> DataFrame:
-    """The captures of the archives, each archive's as a sorted run."""
-    archives = index.select("archive").distinct()
-    return written(archives.mapInArrow(_reader(folder), _RUN), "runs")
+    """The captures of the archives, each archive's as a sorted run.
+
+    An archive is a short row and much work, so that a shuffle's size says
+    nothing: they are dealt evenly to tasks of at most ``TASK_ARCHIVES``.
+    """
+    archives = written(index.select("archive").distinct(), "archives")
+    n = archives.count()
+    tasks = max(1, min(n, max(index.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ARCHIVES))))
+    return written(archives.repartition(tasks).mapInArrow(_reader(folder), _RUN), "runs")
 
 
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -290,8 +304,7 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     spark = runs.sparkSession
     ranges = max(2, spark.sparkContext.defaultParallelism, -(-runs.count() // range_rows))
     dealt = runs.repartitionByRange(ranges, "url_key", "captured", F.coalesce("page_id", F.lit("")), "archive", "record_offset")
-    sliced = dealt.sortWithinPartitions("archive", "url_key", "captured", F.coalesce("page_id", F.lit("")), "record_offset")
-    merged = written(sliced.mapInArrow(_merge, _RUN + ", range_no int, range_place long"), "merged")
+    merged = written(dealt.mapInArrow(_merge, _RUN + ", range_no int, range_place long"), "merged")
     # One row a range.
     sizes = {r["range_no"]: r["n"] for r in merged.groupBy("range_no").agg(F.count("*").alias("n")).collect()}
     before, rows = 0, []

@@ -91,3 +91,15 @@ def test_small_archives(spark):
 def test_url_key():
     assert warc.url_key("https://A.Example.org/P?b=1#x") == "org,example,a)/p?b=1"
     assert warc.url_key(None) == warc.url_key("x") == ""
+
+
+def test_archives_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)  # one record an archive
+    pages = spark.range(50).selectExpr("id AS page_id", "concat('http://h.net/', id % 7) AS url", "repeat('x', int(id)) AS html").repartition(3)
+    folder, index = warc.write_archives(pages, F.current_timestamp())
+    runs = warc.read_archives(folder, index)
+    assert index.select("archive").distinct().count() == 50 == runs.count()
+    assert len({f.rpartition("/")[2] for f in runs.inputFiles()}) > 1
+    ordered = warc.merge_runs(runs, 9).orderBy("capture_order").collect()
+    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in ordered]
+    assert keys == sorted(keys) and [r["capture_order"] for r in ordered] == list(range(50))
