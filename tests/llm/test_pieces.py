@@ -1,3 +1,4 @@
+import math
 import random
 
 import public_tokenizers
@@ -72,3 +73,30 @@ def test_memo_is_bounded(monkeypatch):
     c, fresh = pieces.PieceCoder(PATH), pieces.coder(PATH)
     for text in ("one two three", "three four", "one two"):
         assert c.encode(text).tolist() == fresh.encode(text).tolist() and len(c.memo) <= 5 and len(c.older) <= 5
+
+
+def test_marks_and_stand_ins_round_trip():
+    for scores in ("file", "likely"):
+        c = pieces.PieceCoder(PATH, scores)
+        for text in ("a▁\U0010ffffb", "▁\U0010ffff\U0010fffe ▁", "\U0010ffff ▁▁", " ▁ \U0010fffd\U0010ffff▁"):
+            assert c.decode(c.encode(text)).decode() == text
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="the ingréasño  .,", max_size=60))
+def test_ranks_as_log_probabilities(text):
+    """Brute force over all pieces with the scores that ranks are read as."""
+    c = pieces.coder(PATH, "likely")
+    value = {MODEL.id_to_piece(i): -math.log(pieces.RANK_OFFSET - MODEL.get_score(i)) for i in range(259, MODEL.get_piece_size())}
+    s = (" " + text).replace(" ", pieces.MARK) if text else ""
+    best = [0.0] + [float("-inf")] * len(s)
+    for end in range(1, len(s) + 1):
+        best[end] = max(best[start] + value[s[start:end]] for start in range(max(0, end - 48), end) if s[start:end] in value)
+    assert sum(value[MODEL.id_to_piece(int(i))] for i in c.encode(text)) == pytest.approx(best[-1])
+    assert c.decode(c.encode(text)).decode() == text
+
+
+def test_ranks_give_whole_words():
+    c = pieces.coder(PATH, "likely")
+    assert [MODEL.id_to_piece(int(i)) for i in c.encode("Hello world")] == ["▁Hello", "▁world"]
+    assert len(c.encode("Hello  world")) < len(pieces.coder(PATH).encode("Hello  world"))
