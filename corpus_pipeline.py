@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mdlake.llm import decontam, langid, neardup, pieces, quality
-from mdlake.llm._shared import scratch_path
+from mdlake.llm._shared import drop_path, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +27,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each near-duplicate component."""
+    """The smallest document of each near-duplicate component; one without words
+    is in none and stays. Of rows that repeat an identifier one stays, and a
+    null identifier is larger than any other."""
     return neardup.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
+    """Documents that the benchmark does not contaminate. A null or empty text is
+    clean; items without text or identifier contaminate nothing."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as piece identifiers, with the proof that they decode."""
+    """The documents as piece identifiers, with the proof that they decode. A null
+    text has null pieces, an empty one none; any other is encoded whole."""
     return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -55,9 +59,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            drop_path(spark, before)  # the stage after it is written
+        before = path
     return docs
