@@ -100,6 +100,25 @@ def headings(lines: list[str]) -> Iterator[tuple[int, int, str, str | None]]:
             yield (i, len(m[1]), b[1], b[2]) if b else (i, len(m[1]), text, None)
 
 
+def visible_lines(body: str) -> list[dict]:
+    """``line, text`` of the lines that are neither code nor comment nor blank; a
+    comment within a line goes from it."""
+    state, out, comment = LineState(), [], False
+    for i, line in enumerate(body.split("\n")):
+        if comment:
+            end = line.find("-->")
+            if end < 0:
+                continue
+            comment, line = False, line[end + 3 :]
+        while not state.fence and (start := line.find("<!--")) >= 0:
+            end = line.find("-->", start + 4)
+            comment = end < 0
+            line = line[:start] + ("" if comment else line[end + 3 :])
+        if state.feed(line, i) == "outside" and line.strip():
+            out.append({"line": i, "text": line})
+    return out
+
+
 def slug(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
 

@@ -151,6 +151,10 @@ def preamble(body: Column) -> Column:
     return _mapped(md.preamble, "string", body)
 
 
+def visible_lines(body: Column) -> Column:
+    return _mapped(md.visible_lines, "array<struct<line:int,text:string>>", body)
+
+
 def table_array(content: Column) -> Column:
     return _mapped(md.tables, f"array<{TABLE}>", content)
 

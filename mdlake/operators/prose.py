@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mdlake.functions import text as t
+from mdlake.functions import vocabulary as v
 from mdlake.operators import parse
 
 
 def reader_lines(docs: DataFrame, body: str = "body", keep: tuple[str, ...] = ("doc_key",)) -> DataFrame:
     """``line, kind, text`` of what a reader sees: headings, items, quotes, table
-    cells and paragraphs, without code, comments, rules and inline marks."""
-    plain = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)", "")
-    rows = docs.select(*keep, F.posexplode(F.split(plain, "\n")).alias("line", "raw"))
+    cells and paragraphs, without code, comments, rules and inline marks. ``line``
+    is the place in the body, from 0."""
+    seen = parse.visible_lines(F.col(body))
+    rows = docs.select(*keep, F.explode(seen).alias("seen")).select(*keep, F.col("seen.line").alias("line"), F.col("seen.text").alias("raw"))
     rows = rows.where(~F.rlike("raw", F.lit(r"\A(?:\s*| {4}.*|\t.*|\s{0,3}(?:[-*_]\s*){3,}|\s*\|?[\s:|-]+\|?\s*)\z")))
     kind = (
         F.when(F.rlike("raw", F.lit(r"\A {0,3}#{1,6}\s")), "heading").when(F.rlike("raw", F.lit(r"\A\s*(?:[-*+]|\d+[.)])\s")), "item")
@@ -58,98 +62,182 @@ def undefined_acronyms(docs: DataFrame, known: tuple[str, ...] = (), text: str =
     return found.where((defined == 0) | (first < defined)).select(by, "acronym")
 
 
-def _word(*words: str) -> str:
-    return r"(?i)\b(?:" + "|".join(words) + r")\b"
+def _has(s: Column, pattern: str) -> Column:
+    return F.rlike(s, F.lit("(?iU)" + pattern))
+
+
+def plain(statement: Column) -> Column:
+    """Without links and bold marks, which may stand in one another."""
+    for _ in range(2):
+        statement = F.replace(F.regexp_replace(statement, r"\[([^\]]*)\]\([^)]*\)", "$1"), F.lit("**"), F.lit(""))
+    return statement
+
+
+_SPAN = r"(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)"
 
 
-#: Vocabulary of the checks; a module may pass its own.
-VAGUE = ("appropriate(?:ly)?", "adequate(?:ly)?", "as needed", "etc", "fast", "quickly", "user-friendly", "easy", "efficient(?:ly)?", "robust", "flexible", "support", "handle")
-AMBIGUOUS = ("some", "several", "many", "few", "often", "usually", "normally", "generally", "and/or", "may be", "if possible")
-MODALS = ("shall", "should", "will", "must", "may")
-OBSERVABLE = ("returns?", "shows?", "displays?", "writes?", "emits?", "rejects?", "reports?", "contains?", "equals?", "logs?", "raises?", "fails?", "is", "are")
+def masked(statement: Column) -> Column:
+    """With the contents of code spans gone: a quoted keyword is a mention, not a use."""
+    return F.regexp_replace(statement, "(?s)" + _SPAN, "$1x$1")
+
+
+def _first_word(lower: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(lower, r"(?U)\A\s*(\S+)", 1), r"\A[^a-z]+|[^a-z]+\z", "")
+
+
+def _no_subject(lower: Column) -> Column:
+    """Whether the main clause names nothing before ``shall``. It begins after the
+    comma of a leading trigger, and after ``then``."""
+    led = _first_word(lower).isin("when", "while", "where", "if") & F.contains(lower, F.lit(", "))
+    main = F.when(led, F.regexp_extract(lower, r"(?s)\A.*?, (.*)\z", 1)).otherwise(lower)
+    before = t.strip(F.regexp_replace(t.strip(F.regexp_extract(main, r"(?s)\A(.*?)shall", 1)), r"\Athen", ""))
+    return F.contains(main, F.lit("shall")) & (before == "")
 
 
 def ears_pattern(statement: Column) -> Column:
     """The requirement pattern: without ``shall`` unclassifiable; two or more distinct
     trigger words complex; else the first word decides, else a subject makes it ubiquitous."""
-    s = F.lower(t.strip(statement))
-    triggers = F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(r"\b(when|while|where|if)\b"), 1)))
-    first = F.regexp_extract(s, r"\A(\w+)", 1)
+    s = F.lower(plain(statement))
+    triggers = F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(r"(?<![a-z])(when|while|where|if)(?![a-z])"), 1)))
+    first = _first_word(s)
     return (
-        F.when(~F.rlike(s, F.lit(r"\bshall\b")), "unclassifiable").when(triggers >= 2, "complex").when(first == "when", "event-driven").when(first == "while", "state-driven")
-        .when(first == "where", "optional-feature").when(first == "if", "unwanted-behaviour").when(F.rlike(s, F.lit(r"\A.*\w.*?\bshall\b")) & (first != "shall"), "ubiquitous").otherwise("unclassifiable")
+        F.when(~_has(s, r"\bshall\b"), "unclassifiable").when(triggers >= 2, "complex").when(first == "when", "event").when(first == "while", "state")
+        .when(first == "where", "optional").when(first == "if", "unwanted").when(_no_subject(s), "unclassifiable").otherwise("ubiquitous")
     )
 
 
-def ears_checks(statement: Column, vague: tuple[str, ...] = VAGUE) -> Column:
-    """Sorted checks that a statement fails."""
-    s = t.strip(statement)
-    response = F.regexp_extract(s, r"(?i)\bshall\b(.*)\z", 1)
-    fails = [
-        F.when(ears_pattern(s) == "unclassifiable", "unclassifiable"),
-        F.when(F.size(F.regexp_extract_all(s, F.lit(r"(?i)\b(shall)\b"), 1)) > 1, "non-singular"),
-        F.when(F.rlike(s, F.lit(r"(?i)(?:\A|,\s*)shall\b")), "missing-subject"),
-        F.when(F.rlike(response, F.lit(_word(*vague))), "vague-response"),
-        F.when(F.rlike(s, F.lit(r"(?i)\A(?:once|after|upon|as soon as|in case)\b")), "non-canonical-trigger"),
-    ]
+def _vague(clause: Column, lead: str, lexicon: tuple[str, ...]) -> Column:
+    """Whether the first weak verb after ``lead`` has no concrete object. A
+    capability is always vague; a qualifier makes the object concrete, an abstract
+    quality vague again; a term of the lexicon is concrete."""
+    s = F.lower(plain(clause))
+    pattern = rf"(?sU)\A.*?\b{lead}({'|'.join(v.WEAK_VERBS)})\b(.*)\z"
+    verb, rest = F.regexp_extract(s, pattern, 1), F.regexp_extract(s, pattern, 2)
+    terms = [x for term in lexicon for x in (term, v.plural(term))]
+    known = _has(rest, v.any_of(terms)) if terms else F.lit(False)
+    abstract = _has(rest, rf"\b(?:{'|'.join(v.ABSTRACT)})\b|{v.ABSTRACT_AS}")
+    return (verb != "") & (_has(verb, r"\Abe\s") | (~_has(rest, v.QUALIFIERS) & (abstract | ~known)))
+
+
+def _checks(*fails: Column) -> Column:
     return F.array_sort(F.filter(F.array(*fails), lambda c: c.isNotNull()))
 
 
-def criterion_shape(statement: Column) -> Column:
-    """``given-when-then``, ``obligation``, ``assertion`` or ``unstructured``."""
-    s = t.strip(statement)
-    return (
-        F.when(F.rlike(s, F.lit(r"(?is)\A\W*given\b.*\bwhen\b.*\bthen\b")), "given-when-then").when(F.rlike(s, F.lit(_word("shall", "must"))), "obligation")
-        .when(F.rlike(s, F.lit(_word(*OBSERVABLE))), "assertion").otherwise("unstructured")
-    )
+def ears_checks(statement: Column, lexicon: tuple[str, ...] = ()) -> Column:
+    """Sorted checks that a statement fails; ``lexicon`` has terms that are concrete."""
+    s = F.lower(plain(statement))
+    shall = F.size(F.regexp_extract_all(F.lower(statement), F.lit(r"(?U)\b(shall)\b"), 1))
+    return _checks(
+        F.when(ears_pattern(statement) == "unclassifiable", "unclassifiable"),
+        F.when(shall > 1, "non-singular"),
+        F.when(_no_subject(s), "missing-subject"),
+        F.when(_vague(statement, r"shall\s+(?:not\s+)?", lexicon), "vague-response"),
+        F.when(_has(s, r"\bshall\b") & _first_word(s).isin(*v.OTHER_TRIGGERS), "non-canonical-trigger"),
+    )
 
 
-def criterion_checks(statement: Column, vague: tuple[str, ...] = VAGUE, observable: tuple[str, ...] = OBSERVABLE, vacuous: tuple[str, ...] = ("works?", "correctly", "as expected", "properly")) -> Column:
-    s = t.strip(statement)
-    outcome = F.coalesce(F.nullif(F.regexp_extract(s, r"(?is)\bthen\b(.*)\z", 1), F.lit("")), s)
-    shape = criterion_shape(s)
-    fails = [
-        F.when(shape == "unstructured", "unclassifiable"),
-        F.when(F.rlike(s, F.lit(r"(?i)\bthen\b")) & (shape != "given-when-then"), "non-canonical-shape"),
-        F.when(F.size(F.regexp_extract_all(s, F.lit(r"(?i)\b(then)\b"), 1)) > 1, "non-singular"),
-        F.when(F.rlike(outcome, F.lit(_word(*vague))), "vague-response"),
-        F.when(F.rlike(outcome, F.lit(_word(*vacuous))), "vacuous-outcome"),
-        F.when(~F.rlike(outcome, F.lit(_word(*observable))), "no-observable-outcome"),
-    ]
-    return F.array_sort(F.filter(F.array(*fails), lambda c: c.isNotNull()))
+def _signal(s: Column, lexicon: tuple[str, ...], observable: tuple[str, ...]) -> Column:
+    """Something that can be checked from outside: a figure, bound or code span, a term, an observable verb."""
+    terms = [x for term in lexicon for x in (term, v.plural(term))]
+    verbs = [x for verb in (*v.OBSERVABLE, *observable) for x in v.inflections(verb)]
+    return _has(s, "[0-9<>%`]") | _has(s, v.any_of([*terms, *verbs]))
 
 
-def property_shape(statement: Column) -> Column:
-    """The structural shape of a criterion, on text without code spans: round trip,
-    idempotence, ordering, invariant, universal, example, or unclassified."""
-    s = F.lower(F.regexp_replace(statement, r"`[^`]*`", " x "))
-    has = lambda p: F.rlike(s, F.lit(p))
+def criterion_shape(statement: Column, lexicon: tuple[str, ...] = (), observable: tuple[str, ...] = ()) -> Column:
+    """``obligation`` (a requirement pattern), ``given-when-then``, ``assertion`` (it has
+    a predicate) or ``unstructured``."""
+    m, s = F.lower(plain(masked(statement))), plain(statement)
+    predicate = _signal(s, lexicon, observable) | _has(s, v.COPULAS) | _has(s, v.INFLECTED) | _has(s, v.PAST) | _has(s, v.ELIDED) | _has(s, v.IMPERATIVE)
     return (
-        F.when(has(r"\b(?:then|and then|followed by|back|after)\b") & has(r"\b(?:original|same|identical|equals? the input|unchanged)\b") & has(r"\b(?:decod|pars|deserial|read|decompress|invert|undo)\w*"), "round-trip")
-        .when(has(r"\b(?:twice|again|repeat\w*|second time)\b") & has(r"\b(?:same|equal\w*|no (?:further )?change|identical|unchanged)\b"), "idempotence")
-        .when(has(r"\b(?:sorted|ordered|ascending|descending|monoton\w*|before|after)\b"), "ordering")
-        .when(has(r"\b(?:always|never|at all times|invariant\w*|must not ever)\b"), "invariant")
-        .when(has(r"\b(?:every|all|each|any|for all|no)\b"), "universal")
-        .when(has(r"\b(?:is|are|returns?|equals?|contains?|shall|must|has|reports?|rejects?)\b"), "example")
-        .otherwise("unclassified")
+        F.when(ears_pattern(masked(statement)) != "unclassifiable", "obligation").when(_has(m, r"(?s)\A(?:(?!\bthen\b).)*\b(?:given|when)\b.*\bthen\b"), "given-when-then")
+        .when(predicate, "assertion").otherwise("unstructured")
     )
 
 
-def property_extraction(shape: Column) -> Column:
-    """Universals are extractable, metamorphic shapes are candidates, the others neither."""
-    return F.when(shape == "universal", "extractable").when(shape.isin("round-trip", "idempotence", "ordering", "invariant"), "candidate").otherwise("not-extractable")
+def _obligations(m: Column, shape: Column) -> Column:
+    """How many obligations a criterion bundles: its modal verbs, else the results
+    of a given-when-then. One of two that says the first negatively is not counted."""
+    shall, then = (F.size(F.regexp_extract_all(m, F.lit(rf"(?U)\b({w})\b"), 1)) for w in ("shall", "then"))
+    n = F.when(shall > 0, shall).when(shape == "given-when-then", then).otherwise(0)
+    between, second = (F.regexp_extract(m, r"(?sU)\A.*?\bshall\b(.*?)(\bshall\b.*)\z", i) for i in (1, 2))
+    clause = F.concat(F.regexp_replace(between, rf"(?sU)\A.*{v.CLAUSE_END}", ""), second)
+    negative = (shall > 0) & (_has(second, r"\Ashall\s+(?:not|never)\b") | _has(clause, v.NEGATIVE))
+    return F.when((n == 2) & negative, 1).otherwise(n)
 
 
-def quality_checks(statement: Column, ambiguous: tuple[str, ...] = AMBIGUOUS) -> Column:
-    """Sorted: ambiguous terms, passives without an agent, mixed modal verbs."""
-    s = F.lower(statement)
-    modals = F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(r"\b(" + "|".join(MODALS) + r")\b"), 1)))
-    fails = [
-        F.when(F.rlike(s, F.lit(_word(*ambiguous))), "ambiguous-term"),
-        F.when(F.rlike(s, F.lit(r"\b(?:is|are|was|were|be|been|being)\s+(?:\w+ly\s+)?\w+(?:ed|en)\b(?!.*\bby\b)")), "agentless-passive"),
+def _after(statement: Column, word: str) -> Column:
+    """What follows the first use of a word outside code spans; null without."""
+    found = F.regexp_extract(statement, rf"(?isU)\A(?>{_SPAN}|[^`]|`)*?\b{word}\b(.*)\z", 2)
+    return F.when(_has(masked(statement), rf"\b{word}\b"), found)
+
+
+def criterion_checks(statement: Column, lexicon: tuple[str, ...] = (), observable: tuple[str, ...] = (), vacuous: tuple[str, ...] = ()) -> Column:
+    """Sorted checks that a criterion fails. A criterion states its outcome: the
+    clause after ``shall`` or ``then`` where there is one, else all of it."""
+    shape = criterion_shape(statement, lexicon, observable)
+    outcome = F.coalesce(F.when(shape == "obligation", _after(statement, "shall")).when(shape == "given-when-then", _after(statement, "then")), statement)
+    empty = _has(outcome, v.any_of([*v.VACUOUS, *vacuous])) & ~_signal(plain(statement), lexicon, observable)
+    return _checks(
+        F.when(shape == "unstructured", "unclassifiable"),
+        F.when(shape.isin("obligation", "given-when-then"), "non-canonical-shape"),
+        F.when(_obligations(F.lower(plain(masked(statement))), shape) > 1, "non-singular"),
+        F.when(_vague(outcome, "", lexicon), "vague-response"),
+        F.when(empty, "vacuous-outcome"),
+    )
+
+
+def _predicate(m: Column) -> Column:
+    """A modal, copula or past form, or an inflected word that stands where a verb may."""
+    weak = rf"(?<!-)(?<!\b(?:{'|'.join(v.MODIFIERS)})\s{{1,4}}){v.INFLECTED}(?!-)"
+    return _has(m, v.COPULAS) | _has(m, v.PAST) | _has(m, weak)
+
+
+def _structural_shape(m: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for shape, patterns in v.STRUCTURE.items():
+        hit = F.lit(True)
+        for p in patterns:
+            hit = hit & _has(m, p)
+        out = out.when(hit, shape)
+    for p in v.QUANTIFIED:
+        out = out.when(_has(m, p), "universal")
+    return out.when(_predicate(m), "example").otherwise("unclassified")
+
+
+def property_shape(statement: Column, idioms: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The shape of a criterion, the first of ``SHAPES`` by its structure or by a
+    declared phrase. ``idioms`` adds phrases to shapes."""
+    m = masked(statement)
+    place = lambda s: F.array_position(F.array(*[F.lit(x) for x in v.SHAPES]), s)
+    declared = F.lit(len(v.SHAPES)).cast("long")
+    merged = {k: (*v.IDIOMS.get(k, ()), *(idioms or {}).get(k, ())) for k in v.SHAPES}
+    for shape in reversed(v.SHAPES):
+        if merged[shape]:
+            declared = F.when(_has(m, v.any_of(merged[shape])), F.lit(v.SHAPES.index(shape) + 1).cast("long")).otherwise(declared)
+    return F.element_at(F.array(*[F.lit(x) for x in v.SHAPES]), F.least(place(_structural_shape(m)), declared).cast("int"))
+
+
+def property_extraction(statement: Column, idioms: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """``extractable`` where the structure quantifies and there is a predicate to test;
+    else metamorphic shapes are ``candidate``, the others ``not-extractable``."""
+    m = masked(statement)
+    ready = ~_structural_shape(m).isin("example", "unclassified") & _predicate(m)
+    return F.when(ready, "extractable").when(property_shape(statement, idioms).isin("round-trip", "idempotence", "ordering", "invariant"), "candidate").otherwise("not-extractable")
+
+
+def quality_checks(statement: Column, ambiguous: tuple[str, ...] = ()) -> Column:
+    """Sorted: ambiguous terms (with a short ending), ``shall be`` with a participle and
+    no agent, modal verbs of different strength. Code spans are mentions."""
+    m = F.lower(masked(plain(statement)))
+    terms = "|".join(re.escape(x) for x in (*v.AMBIGUOUS, *ambiguous))
+    rest = F.regexp_extract(m, r"(?sU)\A.*?\bshall\s+be\s+[a-z]+(?:ed|en)\b(.*)\z", 1)
+    agent = rf"(?<![\p{{L}}\p{{N}}])by\s+(?:(?:the|a|an)\s+)?+(?!(?:the|a|an)\z|[^\p{{L}}\p{{N}}\s]*(?:\d|(?:{'|'.join(v.NO_AGENT)})[^\p{{L}}\p{{N}}\s]*(?:\s|\z)))[^\p{{L}}\p{{N}}\s]*[\p{{L}}]"
+    modals = sum((F.when(_has(m, rf"\b{w}\b"), 1).otherwise(0) for w in v.MODALS), F.lit(0))
+    return _checks(
+        F.when(_has(m, rf"(?<![\p{{L}}\p{{N}}])(?:{terms})(?:s|d|ed|ing|es)?(?!\p{{L}})"), "ambiguous-term"),
+        F.when(_has(m, r"\bshall\s+be\s+[a-z]+(?:ed|en)\b") & ~_has(rest, agent), "agentless-passive"),
         F.when(modals > 1, "mixed-modal"),
-    ]
-    return F.array_sort(F.filter(F.array(*fails), lambda c: c.isNotNull()))
+    )
 
 
 def histogram(findings: DataFrame) -> DataFrame:

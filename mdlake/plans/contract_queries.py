@@ -135,46 +135,127 @@ def reader_blocks(spark, sf_dir):
     body = "# Title *x*\n\nA **word** and [link](u).\n```\ncode\n```\n- item `c` one\n---\n> said\n> [!NOTE] care\n<!-- no -->"
     d = r.table(spark, sf_dir, "pages").select("page_id", F.lit(body).alias("body"))
     rows = prose.reader_lines(d, keep=("page_id",)).where("text <> ''")
-    # The fence is gone before lines are counted: its three lines are one.
-    return rows.select("page_id", (F.col("line") + F.when(F.col("line") > 3, 2).otherwise(0)).alias("line"), "kind", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return rows.select("page_id", "line", "kind", F.regexp_replace("text", r"\s+", " ").alias("text"))
 
 
-_EARS = ["When it rains the roof shall close", "While hot the fan shall spin", "Where fitted the horn shall sound", "If it fails the system shall stop", "When on and while hot the fan shall spin", "The roof shall close quickly", "the roof closes"]
-_EARS_OUT = ["event-driven", "state-driven", "optional-feature", "unwanted-behaviour", "complex", "ubiquitous", "unclassifiable"]
+_LEADS = ["", "When it rains, ", "While hot, ", "Where fitted, ", "If it fails, then ", "While idle, when a job arrives, ", "On startup, ", "After login, "]
+_BODIES = [
+    "the system shall emit a record.", "shall be created on first use.", "the system shall support pagination.", "the system shall provide flexibility.", "the user shall be able to export data by mail.",
+    "the handler shall process only push events.", "the system shall handle errors gracefully.", "the service shall mint a token and shall carry it on.", "the system never stops.", "the system shall not manage `Keys`.",
+]
 
 
-@register(f"SELECT p_partkey, ({_EARS_OUT})[p_size % 7 + 1] AS pattern, CASE p_size % 7 WHEN 5 THEN ['vague-response'] WHEN 6 THEN ['unclassifiable'] ELSE []::VARCHAR[] END AS checks FROM part")
-def ears_shapes(spark, sf_dir):
-    s = F.get(F.array(*[F.lit(x) for x in _EARS]), F.col("p_size") % 7)
-    return r.table(spark, sf_dir, "part").select("p_partkey", prose.ears_pattern(s).alias("pattern"), prose.ears_checks(s).alias("checks"))
+def _statement(leads, bodies, by):
+    """Every lead before every body, by a row's number."""
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
+    return F.concat(pick(leads, F.col(by)), pick(bodies, F.floor(F.col(by) / len(leads))))
 
 
-_AC = ["Given a door, when it opens, then a bell rings and it is logged", "The door must close", "The door returns a code", "Doors and windows", "The door is robust"]
+_EARS_SQL = f"""WITH s AS (SELECT p_partkey, ({_LEADS})[p_partkey % {len(_LEADS)} + 1] || ({_BODIES})[(p_partkey // {len(_LEADS)}) % {len(_BODIES)} + 1] AS s FROM part),
+  l AS (SELECT p_partkey, lower(s) AS l, regexp_extract(lower(s), '^[a-z]+') AS w FROM s),
+  m AS (SELECT *, CASE WHEN w IN ('when', 'while', 'where', 'if') AND contains(l, ', ') THEN substr(l, strpos(l, ', ') + 2) ELSE l END AS main, regexp_matches(l, '\\bshall\\b') AS shall,
+    (SELECT count(*) FROM (VALUES ('when'), ('while'), ('where'), ('if')) v(x) WHERE list_contains(string_split_regex(l, '[^a-z]+'), x)) AS n,
+    regexp_extract(l, 'shall (?:not )?(support|handle|manage|process|deal with|provide|enable|be able to)\\b', 1) AS verb,
+    regexp_extract(l, 'shall (?:not )?(?:support|handle|manage|process|deal with|provide|enable|be able to)\\b(.*)$', 1) AS rest FROM l),
+  c AS (SELECT *, regexp_matches(main, '^(then )?shall') AS bare, CASE WHEN verb = 'be able to' THEN true WHEN verb = '' OR regexp_matches(rest, '\\b(by|using|via|only|not|within|that)\\b|[0-9<>%`]') THEN false
+    WHEN regexp_matches(rest, 'flexibility|gracefully') THEN true ELSE NOT regexp_matches(rest, '\\bpaginations?\\b') END AS vague FROM m),
+  p AS (SELECT *, CASE WHEN NOT shall THEN 'unclassifiable' WHEN n >= 2 THEN 'complex' WHEN w = 'when' THEN 'event' WHEN w = 'while' THEN 'state' WHEN w = 'where' THEN 'optional' WHEN w = 'if' THEN 'unwanted'
+    WHEN bare THEN 'unclassifiable' ELSE 'ubiquitous' END AS pattern FROM c)
+  SELECT p_partkey, pattern, list_sort(list_filter([CASE WHEN pattern = 'unclassifiable' THEN 'unclassifiable' END, CASE WHEN len(regexp_extract_all(l, '\\bshall\\b')) > 1 THEN 'non-singular' END,
+    CASE WHEN bare THEN 'missing-subject' END, CASE WHEN vague THEN 'vague-response' END, CASE WHEN shall AND w IN ('on', 'upon', 'after', 'before', 'once', 'during') THEN 'non-canonical-trigger' END], lambda x: x IS NOT NULL)) AS checks FROM p"""
 
 
-@register(f"""SELECT p_partkey, (['given-when-then', 'obligation', 'assertion', 'unstructured', 'assertion'])[p_size % 5 + 1] AS shape,
-  CASE p_size % 5 WHEN 0 THEN [] WHEN 1 THEN ['no-observable-outcome'] WHEN 2 THEN [] WHEN 3 THEN ['no-observable-outcome', 'unclassifiable'] ELSE ['vague-response'] END::VARCHAR[] AS checks FROM part""")
+@register(_EARS_SQL)
+def ears_shapes(spark, sf_dir):
+    """Eighty sentences: each lead with each body. The SQL applies the rules anew."""
+    s = _statement(_LEADS, _BODIES, "p_partkey")
+    return r.table(spark, sf_dir, "part").select("p_partkey", prose.ears_pattern(s).alias("pattern"), prose.ears_checks(s, ("pagination",)).alias("checks"))
+
+
+_CRITERIA = [
+    ("Given a door, when it opens, then a bell rings", "given-when-then", ["non-canonical-shape"]),
+    ("Given a door, when it opens, then a bell rings, then the lamp burns", "given-when-then", ["non-canonical-shape", "non-singular"]),
+    ("The door shall close", "obligation", ["non-canonical-shape"]),
+    ("The door shall close and shall lock", "obligation", ["non-canonical-shape", "non-singular"]),
+    ("The task shall render `skipped` and shall not execute", "obligation", ["non-canonical-shape"]),
+    ("The field shall be present; otherwise it shall be omitted", "obligation", ["non-canonical-shape"]),
+    ("The door returns a code", "assertion", []),
+    ("A statement with two `shall shall` yields one finding", "assertion", []),
+    ("Task ID", "unstructured", ["unclassifiable"]),
+    ("Structural evaluation", "unstructured", ["unclassifiable"]),
+    ("No token in the response body", "assertion", []),
+    ("Attach job to scenario version", "assertion", []),
+    ("Attach Job To Scenario", "unstructured", ["unclassifiable"]),
+    ("Pagination works", "assertion", ["vacuous-outcome"]),
+    ("Pagination works and returns the next cursor", "assertion", []),
+    ("The system shall manage the queue", "obligation", ["non-canonical-shape", "vague-response"]),
+    ("The system supports offline mode", "assertion", []),
+    ("The tools support offline mode", "assertion", ["vague-response"]),
+    ("The tools handle 404 errors by a toast", "assertion", []),
+    ("The code functions that implement it are found", "assertion", []),
+    ("Collection functions independently of exporters", "assertion", ["vacuous-outcome"]),
+]
+
+
+def _cases(rows, n: int, column: str) -> str:
+    return f"CASE {column} % {len(rows)} " + " ".join(f"WHEN {i} THEN {x[n]!r}" for i, x in enumerate(rows)) + " END"
+
+
+def _pick(rows, column: str):
+    return F.element_at(F.array(*[F.lit(x[0]) for x in rows]), (F.col(column) % len(rows) + 1).cast("int"))
+
+
+@register(f"SELECT p_partkey, {_cases(_CRITERIA, 1, 'p_partkey')} AS shape, ({_cases(_CRITERIA, 2, 'p_partkey')})::VARCHAR[] AS checks FROM part")
 def criterion_shapes(spark, sf_dir):
-    s = F.get(F.array(*[F.lit(x) for x in _AC]), F.col("p_size") % 5)
+    s = _pick(_CRITERIA, "p_partkey")
     return r.table(spark, sf_dir, "part").select("p_partkey", prose.criterion_shape(s).alias("shape"), prose.criterion_checks(s).alias("checks"))
 
 
-_PROPERTIES = ["Encoding then decoding gives the same value", "Saving twice leaves the file unchanged", "Rows are sorted by key", "The total is never negative", "Every row has a key", "The door returns a code", "Nothing here, `never`"]
-_SHAPES = ["round-trip", "idempotence", "ordering", "invariant", "universal", "example", "unclassified"]
-
-
-@register(f"SELECT ({_SHAPES})[p_size % 7 + 1] AS shape, count(*) AS n, (['candidate', 'candidate', 'candidate', 'candidate', 'extractable', 'not-extractable', 'not-extractable'])[p_size % 7 + 1] AS extraction FROM part GROUP BY ALL")
+_PROPERTIES = [
+    ("Encoding then decoding yields the input", "round-trip", "extractable"),
+    ("Every record round-trips byte-identical", "round-trip", "candidate"),
+    ("Saving twice leaves the file alone", "idempotence", "extractable"),
+    ("Rows are sorted by key", "ordering", "extractable"),
+    ("Sorted output", "ordering", "extractable"),
+    ("The total is never negative", "invariant", "extractable"),
+    ("Every row has a key", "universal", "extractable"),
+    ("When a row arrives, it is stored", "universal", "extractable"),
+    ("In the report, each total is stated", "universal", "extractable"),
+    ("The parser rejects with a code", "error-case", "not-extractable"),
+    ("No state transition is lost", "lifecycle", "extractable"),
+    ("Two writers run in parallel", "concurrency", "not-extractable"),
+    ("The door returns a code", "example", "not-extractable"),
+    ("Report `never` of the totals", "unclassified", "not-extractable"),
+    ("A key", "universal", "not-extractable"),
+]
+
+
+@register(f"SELECT shape, extraction, count(*) AS n FROM (SELECT {_cases(_PROPERTIES, 1, 'p_partkey')} AS shape, {_cases(_PROPERTIES, 2, 'p_partkey')} AS extraction FROM part) GROUP BY ALL")
 def property_counts(spark, sf_dir):
-    s = F.get(F.array(*[F.lit(x) for x in _PROPERTIES]), F.col("p_size") % 7)
-    p = r.table(spark, sf_dir, "part").select(prose.property_shape(s).alias("shape"))
-    return p.groupBy("shape", prose.property_extraction(F.col("shape")).alias("extraction")).agg(F.count("*").alias("n"))
-
-
-@register("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ['ambiguous-term'] WHEN 1 THEN ['agentless-passive'] WHEN 2 THEN ['mixed-modal'] ELSE [] END::VARCHAR[] AS checks FROM part")
+    s = _pick(_PROPERTIES, "p_partkey")
+    p = r.table(spark, sf_dir, "part").select(prose.property_shape(s).alias("shape"), prose.property_extraction(s).alias("extraction"))
+    return p.groupBy("shape", "extraction").agg(F.count("*").alias("n"))
+
+
+_QUALITY = [
+    ("It shall be robust", ["ambiguous-term"]),
+    ("The queue optimizes reads", ["ambiguous-term"]),
+    ("The optimizer shall run", []),
+    ("The manifest key `optimize` is rejected", []),
+    ("The file shall be written", ["agentless-passive"]),
+    ("The file shall be written by the tool", []),
+    ("Rows shall be sorted by name", ["agentless-passive"]),
+    ("Rows shall be sorted by the name", ["agentless-passive"]),
+    ("It shall be closed by 12:00", ["agentless-passive"]),
+    ("The file was written", []),
+    ("It shall open and should close", ["mixed-modal"]),
+    ("It must be given as needed and may vary", ["ambiguous-term", "mixed-modal"]),
+]
+
+
+@register(f"SELECT p_partkey, ({_cases(_QUALITY, 1, 'p_partkey')})::VARCHAR[] AS checks FROM part")
 def quality_checks(spark, sf_dir):
-    texts = ["It happens often", "The file was written", "It shall open and should close", "The file was written by the tool"]
-    s = F.get(F.array(*[F.lit(x) for x in texts]), F.col("p_size") % 4)
-    return r.table(spark, sf_dir, "part").select("p_partkey", prose.quality_checks(s).alias("checks"))
+    return r.table(spark, sf_dir, "part").select("p_partkey", prose.quality_checks(_pick(_QUALITY, "p_partkey")).alias("checks"))
 
 
 @register("SELECT 'g:c' || (p_size % 3) AS \"check\", count(*) AS n FROM part GROUP BY 1")
