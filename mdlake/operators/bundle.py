@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.functions import text as t
-from mdlake.operators import contract, corpus, coverage, extract, parse, relations, symbols
+from mdlake.operators import contract, corpus, coverage, extract, parse, prose, relations, symbols
 from mdlake.operators.corpus import Corpus
 from mdlake.plans.registry import Registry
 
@@ -53,6 +53,50 @@ def document_findings(docs: DataFrame, registry: Registry) -> list[DataFrame]:
     return out
 
 
+#: The sections that hold requirements, by type, and the column of
+#: those that are tables; the sections that hold criteria.
+REQUIREMENTS = {"FR": {"Description": None, "Behavior": None, "Constraints": "Constraint"}, "NFR": {"Statement": None}, "StR": {"Stakeholder Need": None}}
+CRITERIA = {"FR": "Acceptance Criteria", "NFR": "Acceptance Criteria", "StR": "Validation Criteria"}
+
+
+def statements(docs: DataFrame) -> DataFrame:
+    """``key, kind, row_id, line, statement``: requirements, a sentence with a modal
+    verb or a table cell each, and criteria. ``line`` is the body's, from 0."""
+    s = parse.sections(docs.where(F.col("type").isin(*REQUIREMENTS)), keep=("key", "type"))
+    s = s.withColumn("h", F.lower(t.normalize_heading(F.col("heading")))).select("key", "type", "h", "start_line", "content")
+
+    def where(pairs: list[tuple[str, str]]) -> Column:
+        hit = F.lit(False)
+        for kind, heading in pairs:
+            hit = hit | ((F.col("type") == kind) & (F.col("h") == heading.lower()))
+        return hit
+
+    modal = r"(?iU)\b(?:shall|should|must|may)\b"
+    prose_ = s.where(where([(k, h) for k, x in REQUIREMENTS.items() for h, c in x.items() if c is None]))
+    seen = prose_.select("key", "start_line", F.explode(parse.visible_lines(F.col("content"))).alias("v")).where(~F.rlike("v.text", F.lit(r"\A\s*[>|]")))
+    text = F.regexp_replace("v.text", r"\A\s*(?:[-*]\s|\d+\.\s)?\s*", "")
+    parts = seen.select("key", (F.col("start_line") + 1 + F.col("v.line")).alias("line"), F.explode(F.split(text, r"(?<=[.!?])\s+")).alias("statement"))
+    out = parts.where(F.rlike("statement", F.lit(modal))).select("key", F.lit("requirement").alias("kind"), F.lit(None).cast("string").alias("row_id"), "line", "statement")
+    tables = [("requirement", [(k, h) for k, x in REQUIREMENTS.items() for h, c in x.items() if c], "Constraint"), ("criterion", list(CRITERIA.items()), "Criteria")]
+    for kind, pairs, column in tables:
+        c = parse.table_cells(s.where(where(pairs)), keep=("key", "start_line")).where("table_no = 0")
+        get = lambda name: t.strip(parse.cell(F.col("headers"), F.col("cells"), name))
+        rows = c.select("key", F.lit(kind).alias("kind"), get("ID").alias("row_id"), (F.col("start_line") + 1 + F.col("line")).alias("line"), get(column).alias("statement"))
+        out = out.unionByName(rows.where("statement <> ''"))
+    return out
+
+
+def grammar_findings(docs: DataFrame, lexicon: tuple[str, ...] = ()) -> list[DataFrame]:
+    """What the prose grammars find in the requirements and criteria of documents."""
+    s = statements(docs)
+    packs = (("ears", "requirement", prose.ears_checks(F.col("statement"), lexicon)), ("quality", "requirement", prose.quality_checks(F.col("statement"))), ("ac", "criterion", prose.criterion_checks(F.col("statement"), lexicon)))
+    out = []
+    for pack, kind, checks in packs:
+        f = s.where(F.col("kind") == kind).select("key", "statement", F.explode(checks).alias("c"))
+        out.append(_shape(f, "grammar", F.concat(F.lit(pack + ":"), "c"), t.truncated(t.strip(F.col("statement")), 157)))
+    return out
+
+
 def corpus_findings(c: Corpus, registry: Registry, required: list[relations.RequiredRelation] = ()) -> list[DataFrame]:
     """Dangling references (but foreign authorities), repeated identifiers,
     disallowed verbs, wrong target kinds, index gaps and required relations."""
@@ -62,6 +106,7 @@ def corpus_findings(c: Corpus, registry: Registry, required: list[relations.Requ
     out = [
         _shape(key(e.where((F.col("resolution") == "dangling") & ~foreign)), "refs", "dangling-reference", F.col("target")),
         _shape(corpus.duplicates(c.heads).withColumnRenamed("id", "key"), "bundle", "duplicate-artifact-id", F.col("path")),
+        _shape(corpus.index_versions(c.heads).select(F.col("path").alias("key")), "bundle", "index-okf-version", F.col("key")),
         _shape(corpus.index_gaps(c.docs).withColumnRenamed("folder", "key"), "bundle", "index-completeness", F.col("missing")),
     ]
     allowed = registry.allowed_table(c.docs.sparkSession)
@@ -75,7 +120,7 @@ def corpus_findings(c: Corpus, registry: Registry, required: list[relations.Requ
 
 def validate(c: Corpus, registry: Registry, posture: str = "strict", required: list[relations.RequiredRelation] = (), severities: dict[str, str] | None = None) -> DataFrame:
     """All findings of a corpus, with severities by posture, module and caller, sorted."""
-    parts = document_findings(c.docs, registry) + corpus_findings(c, registry, required)
+    parts = document_findings(c.docs, registry) + grammar_findings(c.docs, tuple(registry.vocab["lexicon"])) + corpus_findings(c, registry, required)
     everything = reduce(DataFrame.unionByName, parts).distinct()
     levels = {**POSTURES[posture], **registry.vocab["grammar_severity"], **(severities or {})}
     return contract.routed(everything, levels).orderBy("pack", "check", "key", "message")

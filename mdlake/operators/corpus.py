@@ -188,6 +188,11 @@ def index_gaps(docs: DataFrame) -> DataFrame:
     return beside.join(listed, ["folder", "name"], "left_anti").select("folder", F.col("name").alias("missing")).orderBy("folder", "missing")
 
 
+def index_versions(docs: DataFrame) -> DataFrame:
+    """``path`` of a root ``index.md`` without ``okf_version``."""
+    return docs.where((F.col("path") == "index.md") & parse.fm("okf_version").isNull()).select("path")
+
+
 #: The prefixes of identifiers that prose may mention.
 ID_TOKEN = r"\b((?:FR|NFR|StR|US|IT|TC)-\d+(?:-(?:AC|CON|VC)-\d+)?)\b"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,54 @@ def undefined_acronyms(docs: DataFrame, known: tuple[str, ...] = (), text: str =
     return found.where((defined == 0) | (first < defined)).select(by, "acronym")
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A named, versioned profile of plain language; no value has a default but the scope."""
+
+    name: str
+    version: str
+    sentence_word_limit: int
+    max_heading_level_step: int
+    document_types: tuple[str, ...] = ()
+    known_acronyms: tuple[str, ...] = ()
+    ignored_uppercase_terms: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        terms = (*self.known_acronyms, *self.ignored_uppercase_terms)
+        bad = {
+            "an empty name": not self.name.strip(), "an empty version": not self.version.strip(), "no sentence limit": self.sentence_word_limit < 1,
+            "a heading step outside 1..5": not 1 <= self.max_heading_level_step <= 5, "an empty document type": not all(k.strip() for k in self.document_types),
+            "a term that is no acronym": not all(re.fullmatch(r"[A-Z0-9-]{2,12}", x) for x in terms),
+        }
+        problems = [name for name, found in bad.items() if found]
+        if problems:
+            raise ValueError(f"the profile {self.name!r} has {', '.join(problems)}")
+
+
+def check_profile(docs: DataFrame, profile: Profile, skipped: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``findings`` (``key, rule, line, message``), ``skipped`` (``key, reason``) and
+    ``counts`` of documents (``key, type, body``) under a profile. Every document is
+    read or skipped with a reason; ``skipped`` adds those that were no documents."""
+    applies = F.col("type").isin(*profile.document_types) if profile.document_types else F.lit(True)
+    applies = F.coalesce(applies, F.lit(False))
+    mine = docs.where(applies)
+    rows = reader_lines(mine, keep=("key",)).where("text <> ''")
+    silent = mine.select("key").join(rows.select("key").distinct(), "key", "left_anti").select("key", F.lit("no-readable-prose").alias("reason"))
+    left = docs.where(~applies).select("key", F.lit("profile-not-applicable").alias("reason")).unionByName(silent)
+    if skipped is not None:
+        left = left.unionByName(skipped.select("key", "reason"))
+    prose_ = rows.where("kind IN ('paragraph', 'item', 'quote', 'alert')")
+    long = long_sentences(prose_, profile.sentence_word_limit).select("key", F.lit("sentence-length").alias("rule"), "line", "sentence")
+    jumps = heading_skips(parse.sections(mine, keep=("key",)), profile.max_heading_level_step, ("key",)).select("key", F.lit("heading-skip").alias("rule"), F.lit(None).cast("int").alias("line"), F.col("heading").alias("sentence"))
+    # Definitions count wherever they stand before; the first use of an acronym has its line.
+    known = (*profile.known_acronyms, *profile.ignored_uppercase_terms)
+    whole = prose_.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    loose = undefined_acronyms(whole, known, by="key").select("key", F.lit("undefined-acronym").alias("rule"), F.lit(None).cast("int").alias("line"), F.col("acronym").alias("sentence"))
+    findings = long.unionByName(jumps).unionByName(loose).withColumnRenamed("sentence", "message")
+    counts = docs.agg(F.count("*").alias("documents_examined")).join(counters(rows, "key"))
+    return {"findings": findings, "skipped": left.distinct(), "counts": counts.select(F.lit(profile.name).alias("profile"), F.lit(profile.version).alias("version"), "*")}
+
+
 def _has(s: Column, pattern: str) -> Column:
     return F.rlike(s, F.lit("(?iU)" + pattern))
 

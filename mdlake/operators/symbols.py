@@ -211,16 +211,34 @@ def symbol_nodes(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.unionByName(files), defined.unionByName(contains).distinct()
 
 
+def similar_sets(a: DataFrame, b: DataFrame, floor: float) -> DataFrame:
+    """``a, b, score`` of rows (``id, t``: a set of tokens) of two tables whose sets
+    have a Jaccard similarity of ``floor`` or more.
+
+    Only the rarest tokens of a set are looked up: of n tokens in the order of
+    their frequency, two such sets share one of the first ``n - ceil(floor * n) + 1``.
+    So a frequent token makes no pairs but of sets that have little else, and no
+    pair is missed. Rounding can't hide one: the prefix is one longer than needed.
+    """
+    sides = [(x.select(F.col("id").alias(n), F.col("t").alias(f"t_{n}")), n) for x, n in ((a, "a"), (b, "b"))]
+    tokens = [x.select(n, F.size(f"t_{n}").alias("n"), F.explode(f"t_{n}").alias("token")) for x, n in sides]
+    seen = tokens[0].select("token").unionAll(tokens[1].select("token")).groupBy("token").agg(F.count("*").alias("seen"))
+    prefixes = []
+    for rows, (_, n) in zip(tokens, sides, strict=True):
+        ordered = rows.join(seen, "token").groupBy(n).agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("o"), F.first("n").alias("n"))
+        length = F.least(F.col("n"), F.col("n") - F.ceil(F.lit(floor) * F.col("n")).cast("int") + 2)
+        prefixes.append(ordered.select(n, F.explode(F.slice("o", F.lit(1), length)).alias("o")).select(n, F.col("o.token").alias("token")))
+    pairs = prefixes[0].join(prefixes[1], "token").select("a", "b").distinct()
+    out = pairs.join(sides[0][0], "a").join(sides[1][0], "b").withColumn("score", t.jaccard(F.col("t_a"), F.col("t_b")))
+    return out.where(F.col("score") >= floor).select("a", "b", "score")
+
+
 def copied_oracles(symbols: DataFrame, sources: DataFrame, floor: float = 0.75, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Test functions whose tokens are much like those of a production function:
-    an inverted index on tokens, then the Jaccard similarity."""
+    """Test functions whose tokens are much like those of a production function."""
     body = symbols.join(sources, "path").withColumn("text", F.array_join(F.slice(F.split("source", "\n"), F.col("line"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(1))), "\n"))
     b = body.select("id", "kind", t.tokens(F.col("text"), stop_words).alias("t"))
-    a = b.where(F.col("kind").isin(*EVIDENCE)).select(F.col("id").alias("test"), F.size("t").alias("n_a"), F.explode("t").alias("token"))
-    c = b.where("kind = 'function'").select(F.col("id").alias("function"), F.size("t").alias("n_b"), F.explode("t").alias("token"))
-    both = a.join(c, "token").groupBy("test", "function", "n_a", "n_b").agg(F.count("*").alias("k"))
-    score = F.col("k") / (F.col("n_a") + F.col("n_b") - F.col("k"))
-    return both.withColumn("score", score).where(F.col("score") >= floor).select("test", "function", "score").orderBy("test", "function")
+    hit = similar_sets(b.where(F.col("kind").isin(*EVIDENCE)), b.where("kind = 'function'"), floor)
+    return hit.select(F.col("a").alias("test"), F.col("b").alias("function"), "score").orderBy("test", "function")
 
 
 def vacuous_tests(symbols: DataFrame, sources: DataFrame) -> DataFrame:

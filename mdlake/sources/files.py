@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -98,20 +99,85 @@ def discover(root: str, extensions: tuple[str, ...] = ("md",), hidden: bool = Fa
 
 
 def read_texts(spark: SparkSession, paths: list[str], root: str | None = None) -> DataFrame:
-    """``path, raw`` of files, relative to ``root`` if given; undecodable bytes are replaced."""
+    """``path, raw`` of files, relative to ``root`` if given; ``raw`` is null where
+    a file is no UTF-8."""
     if not paths:
         return spark.createDataFrame([], "path string, raw string")
     d = spark.read.format("binaryFile").load(paths)
     name = F.regexp_replace("path", r"\Afile:/+", "/")
     if root is not None:
         name = F.substring(name, len(os.path.abspath(root)) + 2, 1_000_000)
-    return d.select(name.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw")).where("raw IS NOT NULL")
+    return d.select(name.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw"))
+
+
+def unreadable(texts: DataFrame) -> DataFrame:
+    """A ``diagnostic`` for each file that is no UTF-8."""
+    return texts.where("raw IS NULL").select(F.concat(F.lit("document-unreadable: "), "path", F.lit(": invalid UTF-8")).alias("diagnostic"))
 
 
 def load_repo(spark: SparkSession, root: str, **options) -> tuple[DataFrame, DataFrame]:
-    """``(sources, diagnostics)`` of the documents below a folder."""
+    """``(sources, diagnostics)`` of the documents below a local folder. A file that
+    can't be read as UTF-8 is a diagnostic."""
     paths, notes = discover(root, **options)
-    return read_texts(spark, paths, root), spark.createDataFrame([(n,) for n in notes], "diagnostic string")
+    texts = read_texts(spark, paths, root)
+    return texts.where("raw IS NOT NULL"), spark.createDataFrame([(n,) for n in notes], "diagnostic string").unionAll(unreadable(texts))
+
+
+def ignored(path: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """Whether the ignore files (``folder, lines``, outer folders first) ignore a path
+    below the root or a folder above it."""
+    compiled = [(folder, IgnoreRules(lines)) for folder, lines in rules]
+
+    def run(paths: pa.Array) -> pa.Array:
+        out = []
+        for path in paths.to_pylist():
+            parts = path.split("/")
+            gone = False
+            for n in range(1, len(parts) + 1):
+                here = "/".join(parts[:n])
+                said = [v for at, r in compiled if (not at or here.startswith(at + "/")) and (v := r.verdict(here[len(at) + 1 if at else 0 :], n < len(parts))) is not None]
+                gone = gone or bool(said and said[-1])
+            out.append(gone)
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(path)
+
+
+def load_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md",), gitignore: bool = True, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """As :func:`load_repo`, for any store that Spark reads: it lists the tree itself,
+    in parallel, and leaves out names that begin with ``.`` or ``_``. The names of
+    folders go through the driver, which looks for their ignore files, and so do
+    the lines of these; the files' paths don't."""
+    top = root.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(top)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = store.makeQualified(where).toString().rstrip("/")
+
+    def listed(pattern: str) -> DataFrame:
+        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(top)
+        inner = F.substring(F.url_decode(F.replace(F.regexp_replace("path", r"\A([a-z]+):/+", "$1:/"), F.lit("+"), F.lit("%2B"))), len(re.sub(r"\A([a-z]+):/+", r"\1:/", full)) + 2, 1_000_000)
+        return d.select(inner.alias("path"), "content")
+
+    found = listed("*.{" + ",".join(sorted({c for x in extensions for c in (x, x.upper())})) + "}")
+    found = found.where(~F.contains("path", F.lit("{{")))
+    for glob in exclude:
+        pattern = glob_regex(glob)
+        found = found.where(~F.exists(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/")), lambda p: F.rlike(p, F.lit(pattern))))
+    if gitignore:
+        parts = F.split("path", "/")
+        folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        rules = []
+        for r in found.select(F.explode(folders).alias("folder")).distinct().collect():
+            own = jvm.org.apache.hadoop.fs.Path("/".join(filter(None, (full, r["folder"], ".gitignore"))))
+            if store.exists(own):
+                stream = store.open(own)
+                rules.append((r["folder"], str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).splitlines()))
+                stream.close()
+        if rules:
+            found = found.where(~ignored(F.col("path"), sorted(rules, key=lambda r: (r[0].count("/") + bool(r[0]), r[0]))))
+    texts = found.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("raw"))
+    return texts.where("raw IS NOT NULL"), unreadable(texts)
 
 
 def text_table(table: DataFrame, key: str, text: str, prefix: str = "") -> DataFrame:

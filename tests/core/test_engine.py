@@ -182,3 +182,18 @@ def test_text_functions(spark):
     ).collect()[0]
     assert d["h"] == "Scope" and d["r"] == ["TC-08", "TC-09", "TC-10", "TC-11"] and d["b"] == ["A-9..1"]
     assert (d["p"], d["i"], d["a"], d["c"], d["s"]) == ("c", "FR-1", "o/r", ["a | b", "", "c"], "x")
+
+
+def test_unreadable_files_and_trees(tmp_path, spark):
+    for name, body in {"a.md": b"---\nid: A\n---\n", "b/c.md": b"x \xff", "b/skip me.md": b"x", "b/keep.md": b"y", ".h/d.md": b"x", "{{t}}/e.md": b"x", "build/f.md": b"x", "b/out/g.md": b"x", "x+y.md": b"p"}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body)
+    (tmp_path / ".gitignore").write_text("build/\nskip*\n")
+    (tmp_path / "b" / ".gitignore").write_text("/out/\n")
+    want = ["a.md", "b/keep.md", "x+y.md"]
+    for load in (files.load_repo, files.load_tree):
+        sources, notes = load(spark, str(tmp_path))
+        assert sorted(r["path"] for r in sources.collect()) == want
+        assert [r["diagnostic"] for r in notes.collect()] == ["document-unreadable: b/c.md: invalid UTF-8"]
+    assert sorted(r["path"] for r in files.load_tree(spark, f"file://{tmp_path}", exclude=("b",))[0].collect()) == ["a.md", "x+y.md"]
