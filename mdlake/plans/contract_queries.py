@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from mdlake.functions import text as t
-from mdlake.operators import contract, corpus, extract, parse, prose
+from mdlake.operators import contract, corpus, extract, parse, prose, symbols
 from mdlake.plans import documents_queries as base
 from mdlake.sources import rendered as r
 
@@ -268,9 +268,6 @@ def finding_histogram(spark, sf_dir):
   (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 1)) AS t FROM benchmark) a JOIN
   (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 1)) AS t FROM benchmark) b ON a.item_id < b.item_id) WHERE j >= 0.3""")
 def token_jaccard_pairs(spark, sf_dir):
-    """Pairs of similar texts by an inverted token index; the floor is low, as these items aren't copies."""
-    b = r.table(spark, sf_dir, "benchmark").select("item_id", t.tokens(F.col("text")).alias("t"))
-    index = b.select("item_id", F.explode("t").alias("token"), F.size("t").alias("n"))
-    other = index.toDF("b", "token", "n_b")
-    both = index.join(other, "token").where("item_id < b").groupBy("item_id", "b", "n", "n_b").agg(F.count("*").alias("k"))
-    return both.where("k / (n + n_b - k) >= 0.3").select(F.col("item_id").alias("a"), "b")
+    """Pairs of items with similar tokens; the floor is low, as these items aren't copies."""
+    b = r.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), t.tokens(F.col("text")).alias("t"))
+    return symbols.similar_sets(b, b, 0.3).where("a < b").select("a", "b")

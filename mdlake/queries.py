@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("documents", "graph", "contract", "semantic")
+AREAS = ("documents", "graph", "contract", "semantic", "coverage")
 
 
 def collect() -> tuple[dict, dict]:
