@@ -189,6 +189,17 @@ def metric_rows(df: DataFrame, measures: dict[str, tuple[Column, Column]]) -> Da
     return out.withColumns({"value": value, "state": state}).orderBy("metric")
 
 
+def ratchets(metrics: DataFrame, baselines: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """``metric, value, baseline, state`` of measured metrics (``metric, value``)
+    against baselines (``metric, baseline, rising``: whether more is better): a
+    metric may not get worse by more than the tolerance. One that a baseline has
+    and that wasn't measured is ``missing``, one without a baseline ``new``."""
+    j = metrics.select("metric", "value").join(baselines, "metric", "full")
+    worse = F.when(F.col("rising"), F.col("baseline") - F.col("value")).otherwise(F.col("value") - F.col("baseline"))
+    state = F.when(F.col("rising").isNull(), "new").when(F.col("value").isNull(), "missing").when(worse > tolerance, "regressed").when(worse < -tolerance, "improved").otherwise("held")
+    return j.select("metric", "value", "baseline", state.alias("state"))
+
+
 #: Outcomes of a retained record that is not qualified.
 EVIDENCE_CAUSES = ("failed", "errored", "skipped", "absent", "unevaluated", "wrong-revision", "selection-mismatch", "stale", "invalid-target", "ambiguous-target", "record-conflict", "qualification-rejected", "inventory-incomplete")
 

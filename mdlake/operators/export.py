@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdlake.functions import text as t
@@ -45,6 +45,23 @@ def read_assurance(text: str, modules: list[str]) -> dict:
     return data
 
 
+def write_assurance(folder: str, artifacts: DataFrame, obligations: DataFrame, symbols: DataFrame, relations: DataFrame, modules: list[str]) -> None:
+    """The export as folders of sorted JSON lines, one a table, beside a manifest:
+    for corpora that are too large for one value. Nothing goes through the driver."""
+    for name, df in {"artifacts": artifacts, "obligations": obligations, "relations": relations, "symbols": symbols}.items():
+        columns = sorted(df.columns)
+        df.select(*columns).orderBy(*columns).write.json(f"{folder}/{name}")
+    head = json.dumps({"format": "assurance", "format_version": 1, "modules": sorted(modules)}, sort_keys=True)
+    artifacts.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+
+
+def read_assurance_tables(spark: SparkSession, folder: str, modules: list[str], schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of :func:`write_assurance`, by name and with the given schemas; an
+    export of another format, version or set of modules is refused."""
+    read_assurance(spark.read.text(f"{folder}/manifest").first()["value"], modules)
+    return {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.items()}
+
+
 def report_json(tables: dict[str, DataFrame], order: dict[str, list[str]]) -> str:
     """A byte-deterministic report: each table sorted by its key columns, streamed to the driver."""
     body = {name: [json.loads(r["j"]) for r in df.orderBy(*order[name]).select(F.to_json(F.struct(*sorted(df.columns))).alias("j")).toLocalIterator()] for name, df in tables.items()}

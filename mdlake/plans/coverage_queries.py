@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from mdlake.operators import bundle, contract, corpus, coverage, diagnostics, parse, prose, query, relations, semantic, symbols
+from mdlake.operators import bundle, contract, corpus, coverage, diagnostics, extract, parse, prose, query, relations, semantic, symbols
 from mdlake.plans import documents_queries as base
 from mdlake.plans import graph_queries as graph
 from mdlake.sources import rendered as r
@@ -256,3 +256,21 @@ def index_versions(spark, sf_dir):
     folders = p.select(r.text("f", F.col("p_partkey"), "/index.md").alias("path"), F.lit("---\nkind: index\n---\n").alias("raw"))
     root = p.agg(F.lit("index.md").alias("path"), F.concat(F.lit("---\nn: "), F.count("*").cast("string"), F.lit("\n---\n")).alias("raw"))
     return corpus.index_versions(corpus.documents(folders.unionByName(root)))
+
+
+@register("""SELECT metric, value, baseline, CASE WHEN baseline IS NULL THEN 'new' WHEN value IS NULL THEN 'missing' WHEN value < baseline - 0.5 THEN 'regressed' WHEN value > baseline + 0.5 THEN 'improved' ELSE 'held' END AS state FROM
+  (SELECT p_brand AS metric, round(100.0 * count(*) FILTER (p_size > 25) / count(*), 2)::DOUBLE AS value FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1) FULL JOIN (SELECT DISTINCT p_brand AS metric, 50.0::DOUBLE AS baseline FROM part WHERE p_brand <> 'Brand#12') USING (metric)""")
+def metric_ratchets(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    value = F.round(100.0 * F.count_if(F.col("p_size") > 25) / F.count("*"), 2)
+    m = p.where("p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("metric")).agg(value.cast("double").alias("value"))
+    b = p.where("p_brand <> 'Brand#12'").select(F.col("p_brand").alias("metric"), F.lit(50.0).alias("baseline"), F.lit(True).alias("rising")).distinct()
+    return coverage.ratchets(m, b, 0.5)
+
+
+@register("SELECT 'ORD-' || o_orderkey AS key, ['status', 'priority'] AS items FROM orders")
+def extract_lists(spark, sf_dir):
+    """The values of a locator with ``multiple``, as an array."""
+    rule = {"match": {"items": {"from": "list_item", "after_heading": "Details", "pattern": "bold_description", "multiple": True}}}
+    x = extract.extract(corpus.documents(r.orders(spark, sf_dir)), rule)
+    return x.select("key", F.element_at("lists", F.lit("items")).alias("items"))

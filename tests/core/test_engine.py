@@ -197,3 +197,12 @@ def test_unreadable_files_and_trees(tmp_path, spark):
         assert sorted(r["path"] for r in sources.collect()) == want
         assert [r["diagnostic"] for r in notes.collect()] == ["document-unreadable: b/c.md: invalid UTF-8"]
     assert sorted(r["path"] for r in files.load_tree(spark, f"file://{tmp_path}", exclude=("b",))[0].collect()) == ["a.md", "x+y.md"]
+
+
+def test_assurance_tables(spark, tmp_path):
+    a = spark.createDataFrame([("B", 2), ("A", 1)], "key string, n int")
+    export.write_assurance(f"file://{tmp_path}/x", a, a, a, a, ["m"])
+    tables = export.read_assurance_tables(spark, f"file://{tmp_path}/x", ["m"], {"artifacts": "key string, n int"})
+    assert sorted(tuple(r) for r in tables["artifacts"].collect()) == [("A", 1), ("B", 2)]
+    with pytest.raises(ValueError, match="other modules"):
+        export.read_assurance_tables(spark, f"file://{tmp_path}/x", ["n"], {})
