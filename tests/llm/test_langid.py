@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -73,3 +75,70 @@ def test_text_of_no_trained_language(spark, languages):
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
     kept = langid.keep_identified(docs, langid.fit(list(texts), list(labels)))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(rows)))
+
+
+def brute(rows, model):
+    """Posteriors by the definition: counts without the row itself, smoothed level by level."""
+    names, size = model.languages, len(model.languages)
+    texts = [langid.visible(h) if h is not None else None for _, _, h in rows]
+    count, mean = langid.score_batch(model, pa.array(texts, pa.string()))
+    scores = mean * np.minimum(count, langid.TEXT_WEIGHT)[:, None]
+    own = []
+    for n, s in zip(count, scores, strict=True):
+        e = np.exp(s - s.max())
+        own.append(e / e.sum() if n else None)
+    host = [(re.search(r"://([^/]+)", u) or [None, None])[1].lower() if u and "://" in u else None for _, u, _ in rows]
+    place = [(h, ".".join(h.split(".")[-2:]), h.split(".")[-1]) if h else (None, None, None) for h in host]
+
+    def total(level, name):
+        hit = [p for p, at in zip(own, place, strict=True) if p is not None and at[0] is not None and (level is None or at[level] == name)]
+        return np.sum(hit, axis=0) if hit else np.zeros(size), len(hit)
+
+    def smooth(level, name, above, weight):
+        c, n = total(level, name)
+        return (c + weight * above) / (n + weight)
+
+    every = [p for p in own if p is not None]
+    out = []
+    for (page_id, _, markup), p, at, s in zip(rows, own, place, scores, strict=True):
+        if at[0] is not None and total(0, at[0])[1]:
+            table = smooth(None, None, np.full(size, 1 / size), langid.SMOOTHING["table"])
+            up = smooth(1, at[1], smooth(2, at[2], table, langid.SMOOTHING["suffix"]), langid.SMOOTHING["domain"])
+            c, n = total(0, at[0])
+            prior = (np.maximum(c - (p if p is not None else 0), 0) + langid.SMOOTHING["host"] * up) / (n - (p is not None) + langid.SMOOTHING["host"])
+        else:
+            prior = (np.sum(every, axis=0) + 1 / size) / (len(every) + 1)
+        post = (s if p is not None else 0) + np.log(np.maximum(prior, 1e-9))
+        declared = re.search(r'lang="(\w+)"', markup or "")
+        for name, right in ((declared and declared[1], langid.DECLARED_RIGHT), (langid.SUFFIXES.get(at[2]), langid.SUFFIX_RIGHT)):
+            if name in names:
+                post = post + np.where(np.array(names) == name, np.log(right), np.log((1 - right) / (size - 1)))
+        e = np.exp(post - post.max())
+        out.append((page_id, names[int(e.argmax())], float(e.max() / e.sum())))
+    return out
+
+
+def test_fusion_against_brute_force(spark, model):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(120):
+        g = str(rng.choice(list(SAMPLES)))
+        text = " ".join(corpus(g, 1, int(rng.integers(1, 6))))[: int(rng.integers(0, 14))]
+        host = rng.choice(["a.one.de", "b.one.de", "c.two.com", "d.two.com", "e.fr", "only.example.org"])
+        rows.append((i, f"http://{host}/{i}" if i % 9 else None, page(g, text, bool(i % 3))))
+    rows += [(500, "http://nothing.known.net/", "<p>1</p>"), (501, "http://a.one.de/", None)]
+    got = {r["page_id"]: r for r in langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    for page_id, language, confidence in brute(rows, model):
+        assert got[page_id]["language"] == language and got[page_id]["confidence"] == pytest.approx(confidence, rel=1e-6)
+
+
+def test_very_long_text(spark, model):
+    docs = spark.createDataFrame([(1, "the and of " * 400_000, "en", "s"), (2, corpus("de", 1)[0], "de", "s")], "doc_id long, text string, lang string, source string")
+    assert langid.keep_identified(docs, model).count() == 2
+
+
+def test_sample_is_the_least_hashes(spark):
+    docs = spark.createDataFrame([(f"text number {i % 300}", "en" if i % 2 else "de") for i in range(900)], "text string, lang string")
+    model = langid.train(docs, rows=15)
+    again = langid.train(docs.repartition(7), rows=15)
+    assert (model.table == again.table).all() and model.typical == again.typical

@@ -117,3 +117,18 @@ def test_keep_first_keeps_one_row_of_a_component(spark):
     assert sorted(str(r[0]) for r in got) == ["1", "7", "8", "8", "None", "None"]
     assert [r[2] in "xz" for r in got if r[0] == 1] == [True] and [r[2] in "oq" for r in got if r[0] is None and r[1]] == [True]
     assert sorted(got, key=str) == sorted((tuple(r) for r in neardup.keep_first(docs.repartition(3)).collect()), key=str)
+
+
+def test_estimate_loses_no_pair_at_the_threshold():
+    """Pairs of similarity 0.75 to 0.80, of sets of all sizes: none is estimated below MIN_ESTIMATE, and all share a band."""
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        size = int(rng.integers(8, 400))
+        shared = -(-int(rng.integers(750, 801)) * 2 * size // (1000 + int(rng.integers(750, 801))))
+        shared = min(size, max(shared, -(-6 * size // 7)))  # 100 * shared >= 75 * (2 * size - shared)
+        pool = rng.integers(0, 1 << 62, 2 * size - shared, dtype=np.int64).astype(np.uint64)
+        a, b = np.sort(pool[:size]), np.sort(pool[size - shared :])
+        assert 100 * shared >= 75 * len(np.union1d(a, b))
+        one, two = (neardup.registers(x, np.array([0])) for x in (a, b))
+        assert neardup.similarity(one.T, two.T, np.array([size]), np.array([size]))[0] >= neardup.MIN_ESTIMATE
+        assert (neardup.band_keys(one) == neardup.band_keys(two)).any()
