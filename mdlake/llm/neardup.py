@@ -54,7 +54,7 @@ MIN_ESTIMATE = 0.5
 #: Partners of a pivot in a part, and their shingles in all, about.
 PARTNERS, PART_SHINGLES = 256, 1_000_000
 #: Sketches of a block, on each side.
-SKETCHES = 1024
+SKETCHES = 256
 
 _rng = np.random.default_rng(71)
 _MULTIPLY = _rng.integers(0, 1 << 31, M, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
