@@ -1,7 +1,9 @@
 """Source symbols: extraction, marker bindings, search and test scepticism.
 
-Python is parsed with ``ast``; Rust, TypeScript, shell and native sources are
-scanned line by line, which :func:`mdlake.functions.text.language_confidence` says.
+Python is parsed with ``ast``. Of Rust and TypeScript strings and comments are
+told from code, and declarations are followed to their closing brace; shell and
+native sources are scanned line by line. None of the four is parsed by a grammar,
+which :func:`mdlake.functions.text.language_confidence` says.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from mdlake.functions import text as t
+from mdlake.operators._lexer import code_of
 from mdlake.sources.files import glob_regex
 
 #: Kinds of symbols that are evidence, and those that are production code.
@@ -65,68 +68,163 @@ def python_symbols(path: str, source: str) -> list[dict]:
     return out
 
 
+_DECLARED = {
+    "rust": re.compile(r"\s*(?:#!?\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|unsafe|const)\s+|extern\s+(?:\"[^\"]*\"\s+)?)*(?:(fn|struct|enum|trait|mod)\s+(\w+)|impl\b(.*))"),
+    "typescript": re.compile(
+        r"\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
+        r"(?:(function|class|interface|enum)\b\s*\*?\s*(\w+)|(x?(?:test|it|describe)|suite)((?:\.\w+)*)(?:\([^()]*\))?\(\s*(['\"`])(.*?)\5)"
+    ),
+}
+
+
+def _impl_scope(head: str) -> str | None:
+    """The scope of an ``impl``: the plain target type, ``<Type as Trait>`` of a
+    trait, or none for a target without a name."""
+    head, depth = head.strip(), 0
+    if head.startswith("<"):
+        for i, c in enumerate(head):
+            depth += (c == "<") - (c == ">" and head[i - 1] != "-")
+            if not depth:
+                head = head[i + 1 :]
+                break
+    head = re.sub(r"\s+", " ", re.split(r"\bwhere\b|\{", head)[0]).strip()
+    trait, is_trait, target = head.rpartition(" for ")
+    if is_trait:
+        return f"<{target.strip()} as {trait.strip()}>"
+    plain = re.match(r"(?:\w+::)*(\w+)", target)
+    return plain[1] if plain else None
+
+
+def _declared(language: str, m: re.Match, line: str, above: str) -> tuple[str | None, str | None, bool, bool]:
+    """Kind (none for what only is a scope), name, whether it is ignored, and whether it is a call."""
+    if language == "rust":
+        if m[1] is None:
+            return None, _impl_scope(m[3]), False, False
+        test = bool(re.search(r"#\[(?:\w+::)*test\b|#\[rstest\b", above))
+        kind = "container" if m[1] != "fn" else "test_function" if test else "benchmark" if "#[bench]" in above else "function"
+        return kind, m[2], bool(re.search(r"#\[ignore\b", above)), False
+    if m[1]:
+        return "function" if m[1] == "function" else "container", m[2], False, False
+    chain = m[4].split(".")
+    suite = m[3] in ("describe", "suite", "xdescribe") or "describe" in chain
+    return "container" if suite else "test_function", line[m.start(6) : m.end(6)], m[3].startswith("x") or "skip" in chain, True
+
+
+class _Open:
+    """A declaration whose end is not met yet: the braces and brackets around it."""
+
+    def __init__(self, scope: str | None, symbol: dict | None, braces: int, brackets: int, call: bool) -> None:
+        self.scope, self.symbol, self.braces, self.brackets, self.call, self.entered = scope, symbol, braces, brackets, call, False
+
+    def ends(self, c: str, braces: int, brackets: int) -> bool:
+        if self.call:
+            return c == ")" and brackets <= self.brackets
+        if c == "}":
+            return braces < self.braces or (self.entered and braces == self.braces)
+        return c == ";" and not self.entered and (braces, brackets) == (self.braces, self.brackets)
+
+
+def braced_symbols(language: str, path: str, source: str) -> list[dict]:
+    """Symbols of Rust or TypeScript; attributes and comments right above are marks.
+
+    A symbol ends with its closing brace, or with a semicolon if it has no body.
+    Rust names are qualified by modules, traits and impls; an ``impl`` is a scope,
+    but no symbol. A TypeScript suite holds its tests without qualifying them. What
+    is not closed ends with the file.
+    """
+    code, strings = code_of(language, source)
+    lines, codes = source.split("\n"), code.split("\n")
+    last = max((n for n, x in enumerate(lines, 1) if x.strip()), default=1)
+    out, marks, opened, braces, brackets, at = [], [], [], 0, 0, 0
+    if language == "typescript":
+        out.append(_symbol(language, path, path.rpartition("/")[2], "container", 1, 1, len(lines), None, [], False))
+    within = iter(strings)
+    span = next(within, None)
+    for n, (line, bare_code) in enumerate(zip(lines, codes, strict=True), 1):
+        while span and span[1] <= at:
+            span = next(within, None)
+        quoted = span is not None and span[0] < at  # the line begins inside a string
+        m, bare = None if quoted else _DECLARED[language].match(bare_code), line.strip()
+        if not m and not quoted and bare and (not bare_code.strip() or bare.startswith(("#[", "#![") if language == "rust" else "@")):
+            marks.append((bare, n))
+        new = None
+        if m:
+            own = re.match(r"\s*((?:#!?\[[^\]]*\]\s*)+)", line)
+            if language == "rust" and own:
+                marks.append((own[1].strip(), n))
+            kind, name, ignored, call = _declared(language, m, line, " ".join(x for x, _ in marks))
+            container = next((o.scope for o in reversed(opened) if o.scope), None)
+            scope = f"{container}::{name}" if language == "rust" and container and name else name or container
+            symbol = kind and _symbol(language, path, scope, kind, n, marks[0][1] if marks else n, last, container, marks, ignored)
+            if symbol:
+                out.append(symbol)
+            holds = kind in (None, "container")  # a function is no scope
+            new = (m.start(3) if kind is None else m.end(), scope if holds else None, symbol, call)
+        if bare and not (marks and marks[-1][1] == n and not m):
+            marks = []
+        for i, c in enumerate(bare_code + "\n"):
+            if new and i == new[0]:
+                opened.append(_Open(new[1], new[2], braces, brackets - new[3], new[3]))
+                new = None
+            if c in "([":
+                brackets += 1
+            elif c in ")]":
+                brackets -= 1
+            elif c == "{":
+                for o in opened[-1:]:
+                    o.entered |= (braces, brackets) == (o.braces, o.brackets)
+                braces += 1
+            elif c == "}":
+                braces -= 1
+            elif c != ";":
+                continue
+            while opened and opened[-1].ends(c, braces, brackets):
+                done = opened.pop()
+                if done.symbol:
+                    done.symbol["end_line"] = n
+        at += len(line) + 1
+    return out
+
+
 _SCAN = {
-    "rust": (re.compile(r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+|extern\s+\"[^\"]*\"\s+)*(fn|struct|enum|trait|impl|mod)\s+(?:<[^>]*>\s*)?(\w+)"), ("#[", "//")),
-    "typescript": (re.compile(r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(function|class|interface|enum)\s+(\w+)|(test|it|describe|suite)(?:\.\w+)?\(\s*(['\"`])(.*?)\4)"), ("@", "//", "/*", "*")),
     "shell": (re.compile(r"\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)\s*\{?"), ("#",)),
     "native": (re.compile(r"\s*(rule|test|entry)\s+([\w.-]+)"), ("#", "--")),
 }
 
 
 def scanned_symbols(language: str, path: str, source: str) -> list[dict]:
-    """Symbols by a line scanner with brace depth; attributes and comments right above are marks."""
+    """Symbols by a line scanner; comments right above are marks, and a symbol ends
+    before the next."""
     pattern, leads = _SCAN[language]
-    lines, out, marks, scopes, depth = source.split("\n"), [], [], [], 0
-    if language == "typescript":
-        out.append(_symbol(language, path, path.rpartition("/")[2], "container", 1, 1, len(lines), None, [], False))
+    lines, out, marks = source.split("\n"), [], []
     for n, line in enumerate(lines, 1):
         bare = line.strip()
         m = pattern.match(line)
-        if bare.startswith(leads) and not (m and language != "typescript"):
+        if bare.startswith(leads) and not m:
             marks.append((bare, n))
             continue
         if m:
-            inside = [s for s in scopes if s[1] < depth + 1]
-            container = inside[-1][0] if inside else None
-            leading = marks[0][1] if marks else n
-            above = " ".join(x for x, _ in marks)
-            ignored = bool(re.search(r"#\[ignore|\.(?:skip|todo)\(", above + line))
-            if language == "rust":
-                word, name = m[1], m[2]
-                test = bool(re.search(r"#\[(?:\w+::)*test\b|#\[rstest\b", above))
-                kind = "test_function" if word == "fn" and test else "benchmark" if "#[bench]" in above else "function" if word == "fn" else "container"
-                qualified = "::".join([s[0] for s in inside] + [name])
-            elif language == "typescript":
-                word, name = m[1] or m[3], m[2] or m[5]
-                kind = "test_function" if word in ("test", "it") else "function" if word == "function" else "container"
-                qualified = name
-            elif language == "shell":
-                word, name, kind = "function", m[1], "function"
-                qualified = name
-            else:
-                word, name = m[1], m[2]
-                kind = {"test": "test_function", "entry": "entry_point"}.get(word, "function")
-                qualified = name
-            out.append(_symbol(language, path, qualified, kind, n, leading, n, container, marks, ignored))
-            if word in ("impl", "mod", "trait"):
-                scopes.append((name, depth))
+            name = m[1] if language == "shell" else m[2]
+            kind = "function" if language == "shell" else {"test": "test_function", "entry": "entry_point"}.get(m[1], "function")
+            out.append(_symbol(language, path, name, kind, n, marks[0][1] if marks else n, n, None, marks, False))
         if bare:
             marks = []
-        depth += line.count("{") - line.count("}")
-        scopes = [s for s in scopes if s[1] < depth or (m and s[1] == depth)]
     for a, b in zip(out, [*out[1:], None], strict=True):
         a["end_line"] = max(a["end_line"], (b["leading_line"] - 1) if b else len(lines))
-    if language == "native" or language == "shell":
+    if language == "shell":
         tags = [(x.strip(), i) for i, x in enumerate(lines, 1) if x.strip().startswith("#") and not x.startswith("#!")]
-        if language == "shell":
-            out.append(_symbol(language, path, path.rpartition("/")[2], "entry_point", 1, 1, len(lines), None, tags, False))
+        out.append(_symbol(language, path, path.rpartition("/")[2], "entry_point", 1, 1, len(lines), None, tags, False))
     return out
 
 
 def extract_file(path: str, language: str | None, source: str) -> list[dict]:
     """Symbols of one file; a file that can't be parsed has none."""
     try:
-        return python_symbols(path, source) if language == "python" else scanned_symbols(language, path, source) if language in _SCAN else []
+        if language == "python":
+            return python_symbols(path, source)
+        if language in _DECLARED:
+            return braced_symbols(language, path, source)
+        return scanned_symbols(language, path, source) if language in _SCAN else []
     except (SyntaxError, ValueError, RecursionError):
         return []
 
